@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm.canonical_map import map_profiles
 from kinweave.llm.forest_split import grouped_splits, split_breaches
 from kinweave.llm.grid_components import decided_links, grid_components
 
@@ -28,6 +29,16 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tbl", "split", "n_rows", "n_groups")
 
 
+def p6_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return map_profiles(_t(spark, d, "profiles"), _t(spark, d, "org_reference"), _t(spark, d, "place_reference"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    named = _t(spark, d, "org_reference").select(F.lit("organization").alias("field"), F.col("name").alias("value"))
+    named = named.unionByName(_t(spark, d, "place_reference").select(F.lit("location").alias("field"), F.col("name").alias("value")))
+    return p6_mapped(spark, d).join(F.broadcast(named.distinct()), ["field", "value"], "left_anti").select("profile_id", "field", "value", "ref_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grid_components(decided_links(_t(spark, d, "resolved_pairs"))).select(F.col("vertex").alias("profile_id"), "group_id")
 
