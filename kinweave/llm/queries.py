@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.canonical_map import map_profiles
 from kinweave.llm.forest_split import grouped_splits, split_breaches
 from kinweave.llm.grid_components import decided_links, grid_components
+from kinweave.llm.page_body import main_runs
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tbl", "split", "n_rows", "n_groups")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_runs(_t(spark, d, "raw_pages"))
+
+
 def p6_mapped(spark: SparkSession, d: str) -> DataFrame:
     return map_profiles(_t(spark, d, "profiles"), _t(spark, d, "org_reference"), _t(spark, d, "place_reference"))
 
