@@ -11,6 +11,7 @@ from kinweave.llm.canonical_map import map_profiles
 from kinweave.llm.forest_split import grouped_splits, split_breaches
 from kinweave.llm.grid_components import decided_links, grid_components
 from kinweave.llm.page_body import main_runs
+from kinweave.llm.set_pairs import profile_items, similar_pairs, similar_sets
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,6 +31,15 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tbl", "split", "n_rows", "n_groups")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_pairs(profile_items(_t(spark, d, "profiles")))
+    return pairs.select(F.col("left").alias("left_profile_id"), F.col("right").alias("right_profile_id"))
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return similar_sets(profile_items(_t(spark, d, "profiles"))).select(F.col("id").alias("profile_id"), F.col("cid").alias("class_id"), "links")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return main_runs(_t(spark, d, "raw_pages"))
 
@@ -60,6 +70,15 @@ WITH e AS (
 ), b AS (SELECT person FROM e WHERE person <> '' AND person <> 'unknown' GROUP BY person HAVING count(DISTINCT s) > 1),
 w AS (SELECT regexp_replace(lower(trim(canonical_person_id)), '[\\s-]+', '_', 'g') AS person, min(canonical_person_id) AS written FROM profiles WHERE canonical_person_id IS NOT NULL GROUP BY 1)
 SELECT coalesce(w.written, b.person) AS canonical_person_id FROM b LEFT JOIN w USING (person)""",
+    "p3_found": """
+WITH r AS (
+  SELECT profile_id AS id, 't:' || trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS item FROM (SELECT profile_id, unnest(topics) AS x FROM profiles)
+  UNION SELECT profile_id, 'o:' || trim(regexp_replace(lower(x.name), '\\s+', ' ', 'g')) FROM (SELECT profile_id, unnest(organizations) AS x FROM profiles)
+  UNION SELECT profile_id, 'l:' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(x)), '[?#].*$', ''), '^[a-z][a-z0-9+.-]*://', ''), '^www\\.', ''), '/+$', '')
+    FROM (SELECT profile_id, unnest(outbound_links) AS x FROM profiles)
+), i AS (SELECT id, item FROM r WHERE length(item) > 2), n AS (SELECT id, count(*) AS n FROM i GROUP BY id HAVING count(*) >= 4),
+c AS (SELECT a.id AS l, b.id AS r, count(*) AS c FROM i a JOIN i b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2)
+SELECT l AS left_profile_id, r AS right_profile_id FROM c JOIN n x ON x.id = l JOIN n y ON y.id = r WHERE c >= 0.6 * (x.n + y.n - c)""",
     "p7_found": """
 WITH RECURSIVE t AS (
   SELECT least(left_profile_id, right_profile_id) AS u, greatest(left_profile_id, right_profile_id) AS v, resolved_at,
