@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.canonical_map import map_profiles
+from kinweave.llm.cut_texts import cut_documents, cut_rates
 from kinweave.llm.forest_split import grouped_splits, split_breaches
 from kinweave.llm.grid_components import decided_links, grid_components
 from kinweave.llm.page_body import main_runs
@@ -58,6 +59,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grid_components(decided_links(_t(spark, d, "resolved_pairs"))).select(F.col("vertex").alias("profile_id"), "group_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_documents(_t(spark, d, "documents"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cut_rates(_t(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
