@@ -1,8 +1,9 @@
 """All similar pairs between set-valued records (problem 3).
 
 Method: minwise hashing. A set gets ``BANDS * ROWS`` minima of random hash functions; bands of
-``ROWS`` minima are bucket keys; records that share a bucket are candidates, each pair once; the
-Jaccard similarity of a candidate pair is computed exactly from the sets.
+``ROWS`` minima are bucket keys; records that share a bucket are candidates, each pair once, unless
+64-bit marks of the two sets prove that too little is common; the Jaccard similarity of what is left
+is computed exactly from the sets.
 
 Equal sets form one class and are compared once. A pair at the threshold 0.6 is missed with
 probability ``(1 - 0.6 ** ROWS) ** BANDS`` = 0.00006, pairs above it far less often. Buckets with more
@@ -64,16 +65,20 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = items.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         keys = band_keys(flat, (offsets[:-1] - offsets[0]).astype(np.int64))
         n = keys.shape[1]
+        bits = np.uint64(1) << ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+        marks = np.bitwise_or.reduceat(bits, (offsets[:-1] - offsets[0]).astype(np.int64)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel()), pa.array(np.repeat(b.column("cid").to_numpy(), n)), pa.array(np.repeat(np.diff(offsets).astype(np.int32), n))],
-            names=["bucket", "cid", "n"],
+            [pa.array(keys.ravel()), pa.array(np.repeat(b.column("cid").to_numpy(), n)), pa.array(np.repeat(np.diff(offsets).astype(np.int32), n)), pa.array(np.repeat(marks, n))],
+            names=["bucket", "cid", "n", "m"],
         )
 
 
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """Pairs (``l``, ``r``, ``jaccard``) of classes (``cid`` long, ``items`` array of longs, distinct), ``l < r``."""
-    rows = classes.filter("size(items) > 0").select("cid", "items").mapInArrow(_bucket_rows, "bucket long, cid long, n int")
-    close = f"l.n >= {threshold!r} * r.n and r.n >= {threshold!r} * l.n"
+    rows = classes.filter("size(items) > 0").select("cid", "items").mapInArrow(_bucket_rows, "bucket long, cid long, n int, m long")
+    # m marks each item in one of 64 bits: a mark that only one side has is an item that isn't common. The bound is never too low.
+    common = "least(l.n - bit_count(l.m & ~r.m), r.n - bit_count(r.m & ~l.m))"
+    close = f"{common} >= {threshold / (1 + threshold)!r} * (l.n + r.n) - 1e-9"
     # Members of a bucket stand in one partition; of each only the count of those before it is needed to see what is hot.
     buckets = rows.repartition("bucket")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
@@ -87,7 +92,7 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, hot: int =
         ranked = items.join(df, "item").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("x"))
         keep = f"cast(n - ceil({threshold!r} * n) + 1 as int)"
         front = ranked.select("cid", F.explode(F.expr(f"slice(x.item, 1, {keep})")).alias("item"))
-        held = crowded.select("bucket", "cid", "n").join(front, "cid")
+        held = crowded.select("bucket", "cid", "n", "m").join(front, "cid")
         more = held.alias("l").join(held.alias("r"), F.expr(f"l.bucket = r.bucket and l.item = r.item and l.cid < r.cid and {close}"))
         pairs = pairs.unionByName(more.select(F.col("l.cid").alias("l"), F.col("r.cid").alias("r")))
     pairs = pairs.distinct()
