@@ -38,6 +38,7 @@ START_RATE, LOOSE, SHRINK, ROUNDS = 0.06, 0.1, 0.7, 3
 #: Rows that a prior of its own needs, in units of observations lent by the wider group.
 LENT = 4.0
 MAX_BLOOM_BITS = 1 << 28
+CHUNK = 250_000
 #: A miss costs more than a false alarm that a reader can check.
 THRESHOLD = 0.25
 
@@ -170,9 +171,9 @@ def _counter(bloom: np.ndarray, bits: int):
         for b in batches:
             column = b.column("text").to_pylist()
             i = 0
-            while i < len(column):  # some two million characters at once
+            while i < len(column):  # so many characters at once that the arrays stay small
                 take, size = [], 0
-                while i < len(column) and (not take or size + len(column[i]) < 2_000_000):
+                while i < len(column) and (not take or size + len(column[i]) < CHUNK):
                     take.append(_trimmed(column[i]))
                     size += len(take[-1])
                     i += 1
@@ -213,29 +214,24 @@ def _bloom_words(bits: int):
     return words
 
 
-def _logit(p):
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
-
-
 def _chain(n_units: float, inner_goes: float, inner_stops: float, rate: float):
     kinds = len(LENGTHS)
 
     @F.pandas_udf("double")
     def odds(k: pd.Series, goes: pd.Series, stops: pd.Series, ends: pd.Series) -> pd.Series:
-        out = np.zeros(len(k))
-        for row, (kk, g, s, e) in enumerate(zip(k, goes, stops, ends)):
-            order = np.argsort(kk)
-            total = 0.0
-            for part in (order[kk[order] < kinds], order[kk[order] >= kinds]):
-                q = 1 - rate
-                for i in part:
-                    a = rate * n_units * g[i] / inner_goes
-                    b = max(0.0, e[i]) + LOOSE * n_units * s[i] / max(1.0, inner_stops)
-                    q = (b + SHRINK * q) / (a + b + SHRINK)
-                total += math.log(max(1e-9, 1 - q) / max(1e-9, q)) - math.log(rate / (1 - rate))
-            out[row] = total  # of the evidence alone, without the prior
-        return pd.Series(out)
+        if not len(k):
+            return pd.Series([], dtype=float)
+        order = np.argsort(np.stack(k.to_numpy()), 1)  # every unit has each kind once
+        g, s, e = (np.take_along_axis(np.stack(x.to_numpy()), order, 1) for x in (goes, stops, ends))
+        a = rate * n_units * g / inner_goes
+        b = np.maximum(0, e) + LOOSE * n_units * s / max(1.0, inner_stops)
+        total = np.zeros(len(k))
+        for part in (range(kinds), range(kinds, g.shape[1])):
+            q = np.full(len(k), 1 - rate)
+            for i in part:
+                q = (b[:, i] + SHRINK * q) / (a[:, i] + b[:, i] + SHRINK)
+            total += np.log(np.maximum(1e-9, 1 - q) / np.maximum(1e-9, q)) - math.log(rate / (1 - rate))
+        return pd.Series(total)  # of the evidence alone, without the prior
 
     return odds
 
