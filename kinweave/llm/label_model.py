@@ -17,8 +17,10 @@ SMOOTH, TURNS = 1.0, 200
 
 
 class LabelModel:
-    def __init__(self, levels: list[int], lean: list[list[float]], share: float = 0.2, joint: int = 2, least_information: float = 0.01):
-        """``levels``: level count of each voter; ``lean``: for each level, its initial odds for a match."""
+    def __init__(self, levels: list[int], lean: list[list[float]], share: float = 0.2, joint: int = 2, least_information: float = 0.01, anchor=None):
+        """``levels``: level count of each voter; ``lean``: for each level, its initial odds for a match;
+        ``anchor``: gives 1, 0 or None for a pattern of votes that is sure to be a match, a non-match, or neither."""
+        self.anchor = anchor
         self.levels, self.lean, self.share, self.joint, self.least = levels, lean, share, joint, least_information
         self.groups: list[tuple[int, ...]] = [(i,) for i in range(len(levels))]
 
@@ -48,6 +50,7 @@ class LabelModel:
             for (code, _), t in zip(codes, tables):
                 z += np.log(t[1][code]) - np.log(t[0][code])
             new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            new = np.where(self.fixed >= 0, self.fixed, new)
             done = np.abs(new - p).max() < 1e-6
             p = new
             if done:
@@ -75,6 +78,8 @@ class LabelModel:
         if not len(votes):
             self.tables = []
             return np.zeros(0)
+        sure = [self.anchor(v) if self.anchor else None for v in votes]
+        self.fixed = np.array([-1.0 if x is None else float(x) for x in sure])
         z = np.full(len(votes), np.log(self.share / (1 - self.share)))
         for v, odds in enumerate(self.lean):
             z += np.log(np.asarray(odds, float))[votes[:, v]]

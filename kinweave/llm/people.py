@@ -24,6 +24,7 @@ PARTICLES = frozenset("van von der den de du la le ter ten di da dos del bin al"
 GIVEN_SHARE, GIVEN_USES = 0.7, 4
 #: Spellings of given names held by the driver and every worker; the most used ones stay.
 MAX_GIVEN = 50_000
+OWN_SHARE, COMMON_SHARE = 0.4, 0.03
 _PAREN = re.compile(r"\([^)]*\)|\[[^\]]*\]")
 _NICK = re.compile(r"[\"“'‘]([^\"”'’]{2,20})[\"”'’]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -38,7 +39,8 @@ def name_tokens(s: str | None) -> tuple[list[str], int]:
     if not s:
         return [], 0
     s = _PAREN.sub(" ", s)
-    s = _NICK.sub(" ", s).replace("’", "'")
+    s = re.sub(r"(?<=[a-zà-ÿ]{2})(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", _NICK.sub(" ", s).replace("’", "'"))
+    s = re.split(r"\s[|•·–]\s", s)[0]
     front = 0
     parts = [p for p in s.split(",")]
     kept = []
@@ -196,9 +198,9 @@ def records(table: DataFrame, side: int) -> DataFrame:
 def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features, links) of :func:`records`.
 
-    features: parsed ``names`` and the rare words of ``orgs``, ``places`` and ``topics``; words that more than one
-    record in a hundred has are left out, they tell people apart badly. links: (``id``, ``side``, ``link`` hash, ``host`` hash)
-    of links that are a person's own: the surnames of those who state it begin with few different letters.
+    features: parsed ``names`` and the rare words of ``orgs``, ``places`` and ``topics``; words that more than ``COMMON_SHARE``
+    of all records have are left out, they tell people apart badly. links: (``id``, ``side``, ``link`` hash, ``host`` hash)
+    of links that are a person's own: of those who state it, ``OWN_SHARE`` have surnames with the same first three letters.
     """
     rows = durable(rows, "records")
     names = learn_names(rows)
@@ -206,13 +208,15 @@ def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = feats.count()
     common = {}
     for c in ("orgs", "places", "topics"):
-        df = feats.select(F.explode(c).alias("w")).groupBy("w").count().filter(F.col("count") > max(30, 0.01 * n))
-        common[c] = [r["w"] for r in df.collect()]  # fewer than 100 times the words of a record
+        df = feats.select(F.explode(c).alias("w")).groupBy("w").count().filter(F.col("count") > max(30, COMMON_SHARE * n))
+        common[c] = [r["w"] for r in df.collect()]  # bounded: the words of a record over the share
     rare = feats
     for c, words in common.items():
         rare = rare.withColumn(c, F.array_except(c, F.array(*[F.lit(w) for w in words]).cast("array<string>")))
-    stated = rows.select("id", "side", F.explode("links").alias("l")).join(feats.select("id", "side", F.substring(F.get("names", F.lit(0))["s"], 1, 1).alias("letter")), ["id", "side"])
-    purity = stated.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("letter").alias("letters")).filter("letters <= greatest(2, 0.2 * n)")
+    start = F.substring(F.get("names", F.lit(0))["s"], 1, 3)
+    stated = rows.select("id", "side", F.explode("links").alias("l")).join(feats.select("id", "side", start.alias("start")), ["id", "side"])
+    purity = stated.groupBy("l", "start").agg(F.count("*").alias("n")).groupBy("l").agg(F.max(F.when(F.col("start").isNotNull(), F.col("n"))).alias("top"), F.sum("n").alias("n"))
+    purity = purity.filter(f"top >= {OWN_SHARE} * n")
     host = F.regexp_extract("l", r"^([^/]*)", 1)
     # On a site of one's own the host is the link; it says nothing about other hosts.
     own = stated.join(purity.select("l"), "l").select("id", "side", F.xxhash64("l").alias("link"), F.xxhash64(host).alias("host"))

@@ -12,6 +12,7 @@ from kinweave.llm.cut_texts import cut_documents, cut_rates
 from kinweave.llm.forest_split import grouped_splits, split_breaches
 from kinweave.llm.grid_components import decided_links, grid_components
 from kinweave.llm.page_body import main_runs
+from kinweave.llm.source_linkage import link_sources
 from kinweave.llm.set_pairs import profile_items, similar_pairs, similar_sets
 
 
@@ -45,6 +46,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return main_runs(_t(spark, d, "raw_pages"))
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return link_sources(_t(spark, d, "live_profiles"), _t(spark, d, "profiles"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("left_profile_id", "right_profile_id")
+
+
 def p6_mapped(spark: SparkSession, d: str) -> DataFrame:
     return map_profiles(_t(spark, d, "profiles"), _t(spark, d, "org_reference"), _t(spark, d, "place_reference"))
 
