@@ -8,18 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.canonical_map import map_profiles
+from kinweave.llm.container_packing import fill_report, packed
 from kinweave.llm.cut_texts import cut_documents, cut_rates
 from kinweave.llm.forest_split import grouped_splits, split_breaches
 from kinweave.llm.grid_components import decided_links, grid_components
+from kinweave.llm.name_variants import linked_variants, variant_pairs
 from kinweave.llm.page_body import main_runs
-from kinweave.llm.source_linkage import link_sources
 from kinweave.llm.set_pairs import profile_items, similar_pairs, similar_sets
+from kinweave.llm.source_linkage import link_sources
+from kinweave.llm.source_mix import mix_report, mixed
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(_t(spark, d, "live_profiles"))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return linked_variants(_t(spark, d, "live_profiles")).select(F.col("id").alias("profile_id"), F.col("shown").alias("display_name"), F.col("cluster").alias("group_id"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_breaches(_t(spark, d, "profiles"), _t(spark, d, "pair_examples"))
 
@@ -68,6 +79,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grid_components(decided_links(_t(spark, d, "resolved_pairs"))).select(F.col("vertex").alias("profile_id"), "group_id")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packed(_t(spark, d, "documents"), _t(spark, d, "containers"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_containers(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    mix, _ = mixed(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+    return mix.filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = _t(spark, d, "mix_targets")
+    return mix_report(mixed(_t(spark, d, "documents"), targets)[0], targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return cut_documents(_t(spark, d, "documents"))
 
