@@ -200,7 +200,7 @@ def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     features: parsed ``names`` and the rare words of ``orgs``, ``places`` and ``topics``; words that more than ``COMMON_SHARE``
     of all records have are left out, they tell people apart badly. links: (``id``, ``side``, ``link`` hash, ``host`` hash)
-    of links that are a person's own: of those who state it, ``OWN_SHARE`` have surnames with the same first three letters.
+    of names in links that are a person's own: of those who state it, ``OWN_SHARE`` have surnames with the same first three letters.
     """
     rows = durable(rows, "records")
     names = learn_names(rows)
@@ -214,10 +214,13 @@ def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for c, words in common.items():
         rare = rare.withColumn(c, F.array_except(c, F.array(*[F.lit(w) for w in words]).cast("array<string>")))
     start = F.substring(F.get("names", F.lit(0))["s"], 1, 3)
-    stated = rows.select("id", "side", F.explode("links").alias("l")).join(feats.select("id", "side", start.alias("start")), ["id", "side"])
+    # What a link calls the person: its last part, or the first of the host on a site of one's own. The same name on
+    # two hosts is one person's as surely as the same link.
+    host = F.regexp_extract("l", r"^([^/]*)", 1)
+    handle = F.when(F.col("l").contains("/"), F.regexp_extract("l", r"([^/@]*)$", 1)).otherwise(F.regexp_extract("l", r"^([^.]*)", 1))
+    stated = rows.select("id", "side", F.explode("links").alias("l")).select("id", "side", F.when(F.length(handle) >= 5, handle).otherwise(F.col("l")).alias("l"), host.alias("host")).distinct()
+    stated = stated.join(feats.select("id", "side", start.alias("start")), ["id", "side"])
     purity = stated.groupBy("l", "start").agg(F.count("*").alias("n")).groupBy("l").agg(F.max(F.when(F.col("start").isNotNull(), F.col("n"))).alias("top"), F.sum("n").alias("n"))
     purity = purity.filter(f"top >= {OWN_SHARE} * n")
-    host = F.regexp_extract("l", r"^([^/]*)", 1)
-    # On a site of one's own the host is the link; it says nothing about other hosts.
-    own = stated.join(purity.select("l"), "l").select("id", "side", F.xxhash64("l").alias("link"), F.xxhash64(host).alias("host"))
+    own = stated.join(purity.select("l"), "l").select("id", "side", F.xxhash64("l").alias("link"), F.xxhash64("host").alias("host"))
     return rare, durable(own, "links")

@@ -98,12 +98,26 @@ def _memberships(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _rates(t, m, src, cap, start, residuals: list[np.ndarray], scale: float) -> np.ndarray:
-    """The rate of each document after the steps that ``residuals`` say. Long and short texts move alike: a step is per token."""
+    """The point of each document at which the next residual is taken: its rate after the accelerated projected
+    gradient steps that ``residuals`` say, ahead by the momentum. Long and short texts move alike: a step is per token."""
     top = np.where(src >= 0, cap[src], 0.0)
-    r = np.minimum(top, np.where(src >= 0, start[src], 0.0))
-    for res in residuals:
-        r = np.clip(r - scale * (m @ res), 0.0, top)
-    return r
+    r = y = np.minimum(top, np.where(src >= 0, start[src], 0.0))
+    for i, res in enumerate(residuals):
+        new = np.clip(y - scale * (m @ res), 0.0, top)
+        y = np.clip(new + i / (i + 3) * (new - r), 0.0, top)
+        r = new
+    return y
+
+
+def _curvature(k: int):
+    def curvature(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = np.zeros((2 * k, 2 * k))
+        for pdf in batches:
+            t, m, _ = _memberships(pdf, k)
+            c += (m * t[:, None]).T @ m
+        yield pd.DataFrame({"i": np.arange(c.size, dtype=np.int32), "v": c.ravel()})
+
+    return curvature
 
 
 def _totals(k, cap, start, residuals, scale):
@@ -165,7 +179,10 @@ def mixed(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, use
     goal = np.concatenate([SOFT * share * total, share * total])
     start = np.array([min(cap[i], share[i] * total / mass[i]) if mass[i] else 0.0 for i in range(k)])
     residuals: list[np.ndarray] = []
-    scale = 0.5 / max(1.0, mass.sum())
+    curve = np.zeros(4 * k * k)
+    for r in ready.mapInPandas(_curvature(k), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        curve[r["i"]] = r["v"]
+    scale = 1.0 / max(1.0, float(np.linalg.eigvalsh(curve.reshape(2 * k, 2 * k)).max()))
     history = []
     for _ in range(ITERATIONS):
         got = {r["i"]: r["v"] for r in ready.mapInPandas(_totals(k, cap, start, residuals, scale), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
@@ -179,7 +196,7 @@ def mixed(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, use
     u = (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
     limits = spark.createDataFrame([(n, float(s * total), int(c)) for n, s, c in zip(names, share, cap)], "source string, goal double, top int")
     placed = rated.join(F.broadcast(limits), "source", "left").select("doc_id", "source", "n_tokens", "rate", "p", F.coalesce("goal", F.lit(0.0)).alias("goal"), F.coalesce("top", F.lit(0)).alias("top"), u)
-    long_ = F.col("n_tokens") > F.col("goal") / 500
+    long_ = F.col("n_tokens") > F.col("goal") / 8
     lo, hi = {n: -cap.max() - 1 for n in names}, {n: cap.max() + 1 for n in names}
 
     def repeats(shift):
