@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.similarity import sequence_similarity
+from kinweave.functions.similarity import similarity_from
 from kinweave.functions.text import norm_text
 
 PAIR = ["left_profile_id", "right_profile_id"]
@@ -72,8 +72,9 @@ def similar_name_pairs(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     met = met.join(ta, "a").join(tb, "b").filter(F.size(F.array_intersect("ta", "tb")) >= share * (F.col("la") + F.col("lb")) - 1 - 1e-9).select("a", "b")
     short = n.filter("len <= 2")
     tiny = short.selectExpr("name as a", "len as la").join(short.selectExpr("name as b", "len as lb"), F.expr("la + lb < 4 and a <> b and substring(a, 1, 1) = substring(b, 1, 1)")).select("a", "b")
-    pairs = met.unionByName(tiny).distinct()
-    return pairs.withColumn("similarity", sequence_similarity("a", "b")).filter(F.col("similarity") >= threshold)
+    # Spread over all cores: the comparison is the costly part, however few bytes the pairs are.
+    pairs = met.unionByName(tiny).distinct().repartition(names.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    return pairs.withColumn("similarity", similarity_from(threshold)("a", "b")).filter(F.col("similarity") >= threshold)
 
 
 def fuzzy_name(keys: DataFrame, threshold: float = 0.85, **how) -> DataFrame:
