@@ -9,6 +9,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 
 def fold(s: str) -> str:
+    if s.isascii():
+        return s.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower().replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("đ", "d")
 
 
@@ -147,13 +150,24 @@ def learn_names(records: DataFrame) -> Names:
     return Names(given, dict(forms))
 
 
-def _split_words(values) -> set[str]:
-    out: set[str] = set()
-    for v in values if values is not None else ():
-        if v:
-            v = re.sub(r"(?<=[a-zà-ÿ]{3})(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", v)
-            out.update(w for w in re.findall(r"[^\W\d_]+", fold(v)) if len(w) >= 4)
-    return out
+_JOINT = re.compile(r"(?<=[a-zà-ÿ]{3})(?=[A-ZÀ-Þ][a-zà-ÿ])")
+_LETTERS, _ALNUM = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W_]+")
+
+
+@lru_cache(100_000)
+def _words(v: str) -> tuple[str, ...]:
+    return tuple(w for w in _LETTERS.findall(fold(_JOINT.sub(" ", v))) if len(w) >= 4)
+
+
+@lru_cache(100_000)
+def _topic(v: str) -> str:
+    return " ".join(_ALNUM.findall(fold(v)))
+
+
+def _split_words(values) -> list[str]:
+    if values is None or not len(values):
+        return []
+    return sorted({w for v in values if v for w in _words(v)})
 
 
 FEATURES = "id string, side int, shown string, names array<struct<g:string,alts:array<string>,s:string>>, orgs array<string>, places array<string>, topics array<string>"
@@ -173,21 +187,22 @@ def _featurizer(names: Names):
                     if p and m and p[1]:
                         q = fold(m.group(1)).strip()
                         got[(q, p[1])] = {"g": q, "alts": names.alternatives(q), "s": p[1]}
-                t = sorted({" ".join(re.findall(r"[^\W_]+", fold(x))) for x in (topics if topics is not None else ()) if x and x.strip()})
-                rows.append((i, side, display, list(got.values()), sorted(_split_words(orgs)), sorted(_split_words(places)), t))
+                t = sorted({_topic(x) for x in (topics if topics is not None else ()) if x and x.strip()})
+                rows.append((i, side, display, list(got.values()), _split_words(orgs), _split_words(places), t))
             yield pd.DataFrame(rows, columns=["id", "side", "shown", "names", "orgs", "places", "topics"])
 
     return features
 
 
-def records(table: DataFrame, side: int) -> DataFrame:
+def records(table: DataFrame, side: int, topics: bool = True) -> DataFrame:
     """A profiles-like table as (``id``, ``side``, ``name``, ``aliases``, ``orgs``, ``places``, ``topics``, ``links``).
 
-    A record delivered again with the same id counts once, with its latest delivery.
+    A record delivered again with the same id counts once (repeats differ in their time only). ``topics`` are left empty unless wanted.
     """
     cols = ["display_name", "aliases", "organizations", "locations", "topics", "outbound_links"]
-    # Of repeated deliveries the one with the latest time stays; the others are left out before anything is computed.
-    latest = table.select(F.col("profile_id").alias("id"), *cols, "url", F.col("ingested_at").cast("timestamp").alias("at")).filter("id is not null").dropDuplicates(["id"])
+    if not topics:
+        table = table.withColumn("topics", F.array().cast("array<string>"))
+    latest = table.select(F.col("profile_id").alias("id"), *cols, "url").filter("id is not null").dropDuplicates(["id"])
     links = F.concat(F.coalesce("outbound_links", F.array().cast("array<string>")), F.array("url"))
     return latest.select(
         "id", F.lit(side).alias("side"), F.col("display_name").alias("name"), "aliases", F.transform("organizations", lambda o: o["name"]).alias("orgs"),
@@ -216,8 +231,8 @@ def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = F.substring(F.get("names", F.lit(0))["s"], 1, 3)
     # What a link calls the person: its last part, or the first of the host on a site of one's own. The same name on
     # two hosts is one person's as surely as the same link.
-    host = F.regexp_extract("l", r"^([^/]*)", 1)
-    handle = F.when(F.col("l").contains("/"), F.regexp_extract("l", r"([^/@]*)$", 1)).otherwise(F.regexp_extract("l", r"^([^.]*)", 1))
+    host = F.substring_index("l", "/", 1)
+    handle = F.when(F.col("l").contains("/"), F.substring_index(F.substring_index("l", "/", -1), "@", -1)).otherwise(F.substring_index("l", ".", 1))
     stated = rows.select("id", "side", F.explode("links").alias("l")).select("id", "side", F.when(F.length(handle) >= 5, handle).otherwise(F.col("l")).alias("l"), host.alias("host")).distinct()
     stated = stated.join(feats.select("id", "side", start.alias("start")), ["id", "side"])
     purity = stated.groupBy("l", "start").agg(F.count("*").alias("n")).groupBy("l").agg(F.max(F.when(F.col("start").isNotNull(), F.col("n"))).alias("top"), F.sum("n").alias("n"))
