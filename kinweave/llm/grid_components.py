@@ -27,7 +27,7 @@ from kinweave.durable import durable, release
 
 #: Edges that a task folds at once, and the edges a cell is sized for.
 FOLD_ROWS = 200_000
-CELL_EDGES = 400_000
+CELL_EDGES = 60_000
 
 
 def min_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -51,8 +51,8 @@ def min_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 def _fold(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
     codes, names = pd.factorize(np.concatenate([u, v]), sort=True)
     label = min_labels(codes[: len(u)], codes[len(u) :], len(names))
-    child = np.flatnonzero(label != np.arange(len(names)))
-    return pd.DataFrame({"vertex": np.asarray(names)[child], "root": np.asarray(names)[label[child]]})
+    # A root is its own representative here; it may have another one in another cell.
+    return pd.DataFrame({"vertex": np.asarray(names), "root": np.asarray(names)[label]})
 
 
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,12 +120,9 @@ def grid_components(edges: DataFrame, left: str = "u", right: str = "v", cell_ed
     labels = levels[-1].select("vertex", F.col("parent").alias("group_id"))
     for level in reversed(levels[:-1]):
         up = labels.select(F.col("vertex").alias("parent"), F.col("group_id").alias("top"))
-        below = level.join(up, "parent", "left").select("vertex", F.coalesce("top", "parent").alias("group_id"))
-        # vertices that only exist further up are roots of this level; they keep what they have
-        labels = below.unionByName(labels.join(level.select("vertex"), "vertex", "left_anti"))
-        labels = durable(labels, "labels")
-    roots = labels.select(F.col("group_id").alias("vertex"), "group_id").distinct()
-    return labels.unionByName(roots.join(labels.select("vertex"), "vertex", "left_anti"))
+        # a parent without an edge in the contracted graph is stable
+        labels = durable(level.join(up, "parent", "left").select("vertex", F.coalesce("top", "parent").alias("group_id")), "labels")
+    return labels
 
 
 def decided_links(pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 
-SMOOTH, TURNS = 1.0, 200
+#: Nats of conditional mutual information above which two voters are as good as one.
+SMOOTH, TURNS, COPY = 1.0, 200, 0.25
 
 
 class LabelModel:
@@ -24,6 +25,9 @@ class LabelModel:
         self.levels, self.lean, self.share, self.joint, self.least = levels, lean, share, joint, least_information
         self.groups: list[tuple[int, ...]] = [(i,) for i in range(len(levels))]
 
+    def _join(self, a: int, b: int) -> None:
+        self.groups = [g for g in self.groups if g not in ((a,), (b,))] + [(a, b)]
+
     def _codes(self, votes: np.ndarray) -> list[tuple[np.ndarray, int]]:
         out = []
         for g in self.groups:
@@ -83,14 +87,21 @@ class LabelModel:
         z = np.full(len(votes), np.log(self.share / (1 - self.share)))
         for v, odds in enumerate(self.lean):
             z += np.log(np.asarray(odds, float))[votes[:, v]]
-        p = self._fit(votes, n, 1 / (1 + np.exp(-z)))
+        p = 1 / (1 + np.exp(-z))
+        # Near copies would pull the classes to themselves, so they are joined before anything is learned.
+        for _ in range(self.joint):
+            single = [g[0] for g in self.groups if len(g) == 1]
+            found = sorted(((self._dependence(votes, n, p, a, b), a, b) for i, a in enumerate(single) for b in single[i + 1 :]), reverse=True)
+            if not found or found[0][0] < COPY:
+                break
+            self._join(*found[0][1:])
+        p = self._fit(votes, n, p)
         for _ in range(self.joint):
             single = [g[0] for g in self.groups if len(g) == 1]
             found = sorted(((self._dependence(votes, n, p, a, b), a, b) for i, a in enumerate(single) for b in single[i + 1 :]), reverse=True)
             if not found or found[0][0] < self.least:
                 break
-            _, a, b = found[0]
-            self.groups = [g for g in self.groups if g not in ((a,), (b,))] + [(a, b)]
+            self._join(*found[0][1:])
             p = self._fit(votes, n, p)
         return p
 
