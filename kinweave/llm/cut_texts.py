@@ -40,7 +40,7 @@ LENT = 4.0
 MAX_BLOOM_BITS = 1 << 28
 CHUNK = 250_000
 #: A miss costs more than a false alarm that a reader can check.
-THRESHOLD = 0.25
+THRESHOLD = 0.15
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
