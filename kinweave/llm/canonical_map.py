@@ -51,6 +51,8 @@ INITIALS = re.compile(r"[A-Z]{3,5}")
 #: A word of the reference list is generic if it stands in at least this share of its entries.
 GENERIC_SHARE = 0.04
 THRESHOLD = 0.45
+#: Entries of a list; it is sent to every worker, values aren't.
+MAX_LISTED = 100_000
 
 
 def fold(s: str) -> str:
@@ -120,7 +122,7 @@ class Shaper:
             if t == s:
                 break
             s = t
-        s = re.sub(r"(?<=[a-zà-ÿ]{3})(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", s)
+        s = re.sub(r"(?<=[a-zà-ÿ]{2})(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", s)
         f = fold(s)
         f = re.sub(r"\bo\.?\s?s\.(?=\W|$)", " sea ", f)
         if self.regions:
@@ -140,6 +142,8 @@ class Shaper:
                 generic.add(w)
             elif w not in EMPTY_WORDS:
                 core.append(w)
+        if any(len(w) >= 5 for w in core):  # scraps of misspelt short words
+            core = [w for w in core if len(w) > 3]
         return " ".join(core), tuple(sorted(generic)), region
 
 
@@ -162,7 +166,7 @@ def _shape_udf(shapers: dict[str, Shaper]):
     def shape(field: pd.Series, value: pd.Series) -> pd.DataFrame:
         rows = []
         for f, v in zip(field, value):
-            core, generic, region = shapers[f].split(v)
+            core, generic, region = (shapers.get(f) or shapers[None]).split(v)
             toks = grams(core) | {f"={g}" for g in generic}
             if INITIALS.fullmatch(v.strip()):
                 toks = {f"@{v.strip().lower()}"}
@@ -201,9 +205,11 @@ def map_values(values: DataFrame, reference: DataFrame, regions: list[tuple[str,
     everything to null. The list must fit in an executor (its names shape the tokens); values don't.
     """
     spark = values.sparkSession
-    listed = reference.select("field", "ref_id", "name", "alias", "region").collect()
-    shapers = {}
-    for f in {r["field"] for r in listed} | {r["field"] for r in values.select("field").distinct().collect()}:
+    listed = reference.select("field", "ref_id", "name", "alias", "region").limit(MAX_LISTED + 1).collect()
+    if len(listed) > MAX_LISTED:
+        raise ValueError(f"a reference list of more than {MAX_LISTED} entries can't be sent to every worker")
+    shapers = {None: Shaper([], [])}
+    for f in {r["field"] for r in listed}:
         own = [r for r in listed if r["field"] == f]
         names = [x for r in own for x in (r["name"], r["alias"]) if x]
         shapers[f] = Shaper(names, (regions or []) if any(r["region"] for r in own) else [])

@@ -278,7 +278,7 @@ def cut_scores(docs: DataFrame) -> DataFrame:
         by_source = base.groupBy("source").agg(((F.sum("p") + LENT * all_) / (F.count("*") + LENT)).alias("ps"))
         by_lang = base.groupBy("lang").agg(((F.sum("p") + 10 * LENT * all_) / (F.count("*") + 10 * LENT)).alias("pl"))
         by_length = base.groupBy("source", "n").agg(F.sum("p").alias("hits"), F.count("*").alias("cases"))
-        prior = base.join(F.broadcast(by_source), "source").join(F.broadcast(by_lang), "lang").join(by_length, ["source", "n"])
+        prior = base.join(by_source, "source").join(by_lang, "lang").join(by_length, ["source", "n"])
         own = (F.col("hits") - F.col("p") + LENT * F.col("ps")) / (F.col("cases") - 1 + LENT)
         logit = lambda x: F.log(x / (1 - x))
         safe = lambda x: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), x))
