@@ -23,7 +23,7 @@ def sigmoid(x: Column) -> Column:
 def linear_score(coefficients: dict[str, float], intercept: float) -> Column:
     """A logistic score with given coefficients; a null feature counts as 0."""
     z = F.lit(float(intercept))
-    for name, c in coefficients.items():
+    for name, c in coefficients.items():  # every named feature must be there
         z = z + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * F.lit(float(c))
     return sigmoid(z)
 
@@ -130,16 +130,16 @@ def abstain_stats(decided: DataFrame, decision: str = "decision", label: str = "
     return a.select(part("t", "m").alias("accepted_precision"), part("t", "p").alias("accepted_recall"), part("a", "n").alias("abstain_rate"))
 
 
-def contradiction_veto(score: Column, match_threshold: float) -> Column:
-    """A pair that would match, or has the same name, but whose places conflict and that shares neither organisation nor domain nor two topics."""
-    f = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+def contradiction_veto(score: Column, match_threshold: float, have: list[str]) -> Column:
+    """``have``: the columns there are; a feature that is missing or null counts as 0. A pair that would match, or has the same name, but whose places conflict and that shares neither organisation nor domain nor two topics."""
+    f = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
     return (f("location_conflict") >= 1) & (f("org_overlap_count") == 0) & (f("shared_domain_count") == 0) & (f("topic_overlap_count") <= 1) & ((score >= match_threshold) | (f("name_similarity") >= 0.98))
 
 
 def decide(examples: DataFrame, match_threshold: float, non_match_threshold: float, score: str = "score") -> DataFrame:
     """``decision``: abstain by veto, else match, non_match or abstain by the two thresholds."""
     s = F.col(score)
-    return examples.withColumn("decision", F.when(contradiction_veto(s, match_threshold), "abstain").when(s >= match_threshold, "match").when(s <= non_match_threshold, "non_match").otherwise("abstain"))
+    return examples.withColumn("decision", F.when(contradiction_veto(s, match_threshold, examples.columns), "abstain").when(s >= match_threshold, "match").when(s <= non_match_threshold, "non_match").otherwise("abstain"))
 
 
 @dataclass

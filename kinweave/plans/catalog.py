@@ -785,3 +785,54 @@ def open_world_recall(spark, d):
 @query("SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(u)), '[?#].*$', ''), '^[a-z][a-z0-9+.-]*://', ''), '^www\\.', ''), '/+$', '') AS link FROM (SELECT unnest(outbound_links) AS u FROM profiles) WHERE u IS NOT NULL")
 def link_keys(spark, d):
     return spark.read.parquet(f"{d}/profiles.parquet").select(F.explode("outbound_links").alias("u")).filter("u is not null").select(link_key(F.col("u")).alias("link")).distinct()
+
+
+# --- adjudication and fold means ---------------------------------------------------------------------------------
+def _summary_sql(p: str) -> str:
+    def some(x: str, n: int) -> str:
+        return f"CASE WHEN len({x}) > 0 THEN array_to_string(({x})[1:{n}], ', ') ELSE 'none' END"
+
+    return (
+        f"'Name: ' || {p}.display_name || chr(10) || 'Source: ' || {p}.source_type || chr(10) || 'Headline: ' || CASE WHEN coalesce({p}.headline, '') <> '' THEN {p}.headline ELSE 'none' END || chr(10) || 'Orgs: ' || "
+        + some(f"list_transform({p}.organizations, lambda o: o.name)", 4) + f" || chr(10) || 'Locations: ' || {some(f'{p}.locations', 3)} || chr(10) || 'Topics: ' || {some(f'{p}.topics', 6)} || chr(10) || 'Bio excerpt: ' || left(coalesce({p}.bio_text, ''), 300)"
+    )
+
+
+_PROMPT_FEATURES = ["name_similarity", "org_jaccard", "location_conflict"]
+
+
+@query(f"""WITH {_P}, {_E} SELECT e.left_profile_id, e.right_profile_id, md5('Two public profiles were compared by a model. Say whether they are about the same person.' || chr(10) || chr(10) || 'Profile A' || chr(10) || {_summary_sql('a')} || chr(10) || chr(10) || 'Profile B' || chr(10) || {_summary_sql('b')}
+ || chr(10) || chr(10) || 'Features' || chr(10) || {" || chr(10) || ".join(f"'  {n}: ' || printf('%.4f', coalesce(e.{n}, 0))" for n in _PROMPT_FEATURES)} || chr(10) || chr(10) || 'Score of the model: ' || printf('%.4f', floor(e.score * 1000) / 1000) || ' (decision: ' || e.decision || ')' || chr(10) || chr(10)
+ || 'Answer with one JSON object: {{"verdict": "match" or "non_match", "confidence": 0.0-1.0, "reasoning": "one or two sentences"}}') AS prompt_md5 FROM E e JOIN P a ON a.profile_id = e.left_profile_id JOIN P b ON b.profile_id = e.right_profile_id WHERE a.display_name IS NOT NULL AND b.display_name IS NOT NULL""")
+def adjudication_prompts(spark, d):
+    from kinweave.operators.adjudicate import adjudication_prompt
+
+    p = _once(spark, d).filter("display_name is not null")
+    return X.joined(_decided(spark, d).withColumn("score", F.floor(F.col("score") * 1000) / 1000), p).select("left_profile_id", "right_profile_id", F.md5(adjudication_prompt(_PROMPT_FEATURES)).alias("prompt_md5"))
+
+
+@query("""SELECT left_profile_id, right_profile_id, CASE WHEN left_profile_id < 'pf-0000000500' THEN 'match' ELSE coalesce(decision, 'none') END AS verdict FROM resolved_pairs""")
+def adjudication_replies(spark, d):
+    """Replies of a stand-in for a judge: fenced JSON for some pairs, rubbish for the others, which keep the decision."""
+    from kinweave.operators.adjudicate import read_reply
+
+    r = spark.read.parquet(f"{d}/resolved_pairs.parquet").withColumn("decision", F.coalesce("decision", F.lit("none")))
+    reply = F.when(F.col("left_profile_id") < "pf-0000000500", F.lit('```json\n{"verdict": "match", "confidence": 0.9, "reasoning": "x"}\n```')).otherwise("I can't say.")
+    return r.withColumn("reply", reply).select("left_profile_id", "right_profile_id", read_reply()["verdict"].alias("verdict"))
+
+
+@query(f"""WITH {_E}, {_SC.replace("FROM E", "FROM E").replace("label,", "label, split,")}, X AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS model, split, {m} AS s, label FROM SC WHERE split IS NOT NULL" for m in _MODELS) + f"""), A AS (SELECT model, split, count(*) FILTER (s >= 0.5) AS m, count(*) FILTER (s >= 0.5 AND label = 1) AS t, count(*) FILTER (label = 1) AS p FROM X GROUP BY 1, 2)
+SELECT model, round(avg(round(precision, 3)), 3) AS precision, round(avg(round(recall, 3)), 3) AS recall, round(avg(round(f1, 3)), 3) AS f1 FROM (SELECT model, {_PRF} FROM A) GROUP BY 1""")
+def fold_means(spark, d):
+    e = _examples(spark, d).filter("split is not null")
+    long_ = e.select("split", "label", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("score")) for m, c in zip(_MODELS, ("score", "name_similarity", "embedding_cosine"))])).alias("x")).select("split", "label", "x.*")
+    folds = M.pr_at(long_, 0.5, by=["model", "split"]).withColumn("average_precision", F.lit(0.0))
+    return M.average_folds(folds).select("model", "precision", "recall", "f1")
+
+
+@query()
+def permutation_sanity(spark, d):
+    from kinweave.plans.benchmark import permutation_sanity as shuffled
+
+    tr, _, te = _by_split(spark, d)
+    return shuffled(tr, te, 7)

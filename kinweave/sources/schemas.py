@@ -24,7 +24,7 @@ def clean_lists(profiles: DataFrame) -> DataFrame:
     """Trim list entries and drop blank ones; collapse white space in the display name."""
     out = profiles
     for c in ("aliases", "locations", "topics", "timestamps"):
-        out = out.withColumn(c, F.filter(F.transform(c, F.trim), lambda x: x != ""))
+        out = out.withColumn(c, F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
     return out.withColumn("display_name", F.trim(F.regexp_replace("display_name", r"\s+", " ")))
 
 

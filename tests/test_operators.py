@@ -125,7 +125,7 @@ def test_matcher_end_to_end(spark):
     assert "shared_domain" in cards["reason_codes"] and "Decision=" in cards["final_explanation"]
 
 
-HTML = """<html><body><h1 class='p-name'> Ada  Byron </h1><p class="p-note">Engineer<p><div class='user-profile-bio'>Wrote <b>notes</b>
+HTML = """<html><body><h1 class='p-name'> Ada  Byron </h1><p class="p-note">Engineer</p><div class='user-profile-bio'>Wrote <b>notes</b></div>
 <ul class=org-list><li data-name='Acme' data-role='Lead' data-start-year='2001'></li><li>Beta</ul><ul class='topic-list'><li>maps<li>graphs</ul><div class='profile-links'><a href='https://a.example'>x</a><a>no</a></div>"""
 
 
