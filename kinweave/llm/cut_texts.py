@@ -98,19 +98,28 @@ def _lower(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def context_hashes(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash at each position, whether it is defined there) of every context kind, the position being the context's last character."""
+def context_hashes(codes: np.ndarray, at: np.ndarray, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, hashes) of every context kind that ends at one of the positions ``at``.
+
+    ``keep`` says which hashes are wanted. A context is only wanted if the shorter ones at its end are, so
+    positions drop out on the way and long contexts are computed for few of them. Without ``keep`` every kind
+    has all positions, and a context that reaches over the start of its text has a hash that nothing else has.
+    """
     n = len(codes)
     low = _lower(codes).astype(np.uint64)
     begins = np.maximum.accumulate(np.where(codes == 0, np.arange(n), 0))
-    depth = np.arange(n) - begins  # characters up to and with the position
-    h = np.zeros(n, np.uint64)
+    p, h = at, np.zeros(len(at), np.uint64)
     for k in range(1, max(LENGTHS) + 1):
-        shifted = np.zeros(n, np.uint64)
-        shifted[k - 1 :] = low[: n - k + 1] if k > 1 else low
-        h = (h * _P + shifted + np.uint64(1)) * _Q
+        if keep is not None:  # characters up to and with the position
+            m = p - begins[p] >= k
+            p, h = p[m], h[m]
+        h = (h * _P + low[np.maximum(p - k + 1, 0)] + np.uint64(1)) * _Q
         if k in LENGTHS:
-            yield _mix(h, k), depth >= k
+            mixed = _mix(h, k)
+            if keep is not None:
+                m = keep(mixed)
+                p, h, mixed = p[m], h[m], mixed[m]
+            yield p, mixed
     table = _classes()
     kind = np.where(codes < 0x3000, table[np.minimum(codes, 0x2FFF)], codes + 100).astype(np.uint64)
     # Tokens: runs of letters, runs of digits, single marks. A blank belongs to no token unless it is the last character.
@@ -118,17 +127,16 @@ def context_hashes(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]
     group = np.where(letter, 1, np.where(kind == _NUMBER, 2, np.where(kind == _BLANK, 3, 0)))
     first = np.ones(n, bool)
     first[1:] = (group[1:] != group[:-1]) | (group[1:] == 0)
-    token_starts = np.flatnonzero(first & (group != 3))
+    starts_here = first & (group != 3)
+    token_starts = np.flatnonzero(starts_here)
     capital_first = kind[token_starts] == _CAPITAL
-    longer = np.zeros(len(token_starts), bool)
-    nxt = token_starts + 1
-    ok = nxt < n
-    longer[ok] = kind[np.minimum(nxt, n - 1)][ok] == _CAPITAL
+    longer = kind[np.minimum(token_starts + 1, n - 1)] == _CAPITAL
     shape = np.where(group[token_starts] == 1, np.where(capital_first, np.where(longer, _CAPITALS, _CAPITAL), _SMALL), kind[token_starts]).astype(np.uint64)
-    token = np.cumsum(first & (group != 3)) - 1  # the token a position is in or behind
+    token = np.cumsum(starts_here) - 1  # the token a position is in or behind
     blank = (group == 3).astype(np.uint64)
     ht = np.zeros(len(token_starts), np.uint64)
     stopped = np.zeros(len(token_starts), bool)
+    p = at
     for m in range(1, max(SHAPES) + 1):
         s = np.full(len(token_starts), np.uint64(_START))
         if m <= len(token_starts):
@@ -136,7 +144,11 @@ def context_hashes(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]
         ht = np.where(stopped, ht, (ht * _P + s + np.uint64(1)) * _Q)
         stopped |= s == _START
         if m in SHAPES:
-            yield _mix(ht[token] * np.uint64(3) + blank, 100 + m), depth >= 1
+            mixed = _mix(ht[token[p]] * np.uint64(3) + blank[p], 100 + m)
+            if keep is not None:
+                k = keep(mixed)
+                p, mixed = p[k], mixed[k]
+            yield p, mixed
 
 
 def _trimmed(text: str) -> str:
@@ -152,7 +164,7 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         codes, at = _codes(texts)
         last = np.append(at[1:], len(codes)) - 1
-        hashes = np.stack([h[last] for h, _ in context_hashes(codes)], 1)
+        hashes = np.stack([h for _, h in context_hashes(codes, last)], 1)
         yield pa.RecordBatch.from_arrays(
             [b.column("unit"), pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, hashes.shape[1], dtype=np.int32)), pa.array(hashes.astype(np.uint64).view(np.int64).ravel()))],
             names=["unit", "ctx"],
@@ -182,10 +194,8 @@ def _counter(bloom: np.ndarray, bits: int):
                 inner = (codes != 0) & (after != 0)
                 stop = np.isin(after, _STOPS) & inner
                 hs, ss = [], []
-                for h, fine in context_hashes(codes):
-                    at = np.flatnonzero(fine & inner)
-                    at = at[hit(h[at])]
-                    hs.append(h[at])
+                for at, h in context_hashes(codes, np.flatnonzero(inner), hit):
+                    hs.append(h)
                     ss.append(stop[at])
                 h, s = np.concatenate(hs), np.concatenate(ss)
                 u, inv = np.unique(h, return_inverse=True)
