@@ -198,7 +198,7 @@ def _counter(bloom: np.ndarray, bits: int):
                     hs.append(h)
                     ss.append(stop[at])
                 h, s = np.concatenate(hs), np.concatenate(ss)
-                u, inv = np.unique(h, return_inverse=True)
+                inv, u = pd.factorize(h)  # by hashing; sorting would cost most of the pass
                 stops = np.bincount(inv, s, len(u))
                 every = np.bincount(inv, minlength=len(u))
                 u = np.append(u.view(np.int64), [0, 1])  # rows 0 and 1 carry the totals
