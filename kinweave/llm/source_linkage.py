@@ -22,8 +22,8 @@ from kinweave.llm.forest_split import id_key
 from kinweave.llm.label_model import LabelModel
 from kinweave.llm.people import people_features, records
 
-#: Pairs that a key may make by itself. A key that makes more is joined together with a word or link the two share.
-HOT_PAIRS = 200_000
+#: Records of one key that meet in one task, on either side; the pairs of a key with more are spread over several.
+KEY_BLOCK = 512
 NAME, LINK, ORG, PLACE = range(4)
 LEVELS = [6, 3, 4, 3]
 #: Odds for a match that each level starts with, before anything is learned.
@@ -57,35 +57,36 @@ def name_keys(feats: DataFrame) -> DataFrame:
     return n.select(F.explode(F.array_distinct(F.concat(by_name, words))).alias("key"), "id", "side").distinct()
 
 
-def candidates(left_keys: DataFrame, right_keys: DataFrame, left_words: DataFrame, right_words: DataFrame, same: bool = False, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def candidates(left_keys: DataFrame, right_keys: DataFrame, left_words: DataFrame | None = None, right_words: DataFrame | None = None, same: bool = False, hot_pairs: int | None = None) -> DataFrame:
     """Distinct pairs (``l``, ``r``) that share a key; ``same``: both sides are one table, ``l < r``.
 
-    Keys are (``key``, ``id``), words (``word``, ``id``). A key that would make more than ``hot_pairs`` pairs is
-    joined on key and word, so the pairs of a name that a third of all rows has stay few while every such
-    pair that shares anything else is kept; a pair that shares only such a key isn't a candidate.
+    Keys are (``key``, ``id``). Every pair of a key comes out, however many records have it: a key is joined in
+    blocks of ``KEY_BLOCK`` records of each side, so none is one task's. Only if ``hot_pairs`` is given, a key that
+    would make more pairs is joined on key and word (``word``, ``id``), and pairs that share nothing else are left out.
     """
     a = left_keys.groupBy("key").agg(F.count("*").alias("na"))
     b = right_keys.groupBy("key").agg(F.count("*").alias("nb"))
-    sizes = a.join(b, "key").withColumn("hot", F.col("na") * F.col("nb") > hot_pairs)
+    sizes = a.join(b, "key").withColumn("hot", F.lit(False) if hot_pairs is None else F.col("na") * F.col("nb") > hot_pairs)
     if same:
         sizes = sizes.filter("na > 1")
-    sizes = durable(sizes.select("key", "hot"), "sizes")
+    blocks = [F.ceil(F.col(n) / KEY_BLOCK).cast("int").alias(x) for n, x in (("na", "ba"), ("nb", "bb"))]
+    sizes = durable(sizes.select("key", "hot", *blocks), "sizes")
     order = F.expr("l < r") if same else F.lit(True)
     lk, rk = left_keys.join(sizes, "key"), right_keys.join(sizes, "key")
-    pairs = lk.filter("not hot").select("key", F.col("id").alias("l")).join(rk.filter("not hot").select("key", F.col("id").alias("r")), "key").filter(order).select("l", "r")
-    if not sizes.filter("hot").isEmpty():
+
+    def spread(k: DataFrame, name: str, mine: str, others: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        at = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")
+        return k.filter("not hot").select("key", F.col("id").alias(name), at.alias(mine), every.alias(others))
+
+    pairs = spread(lk, "l", "ba", "bb").join(spread(rk, "r", "bb", "ba"), ["key", "ba", "bb"]).filter(order).select("l", "r")
+    if hot_pairs is not None and not sizes.filter("hot").isEmpty():
         x = lk.filter("hot").select("key", "id").join(left_words, "id").select("key", "word", F.col("id").alias("l"))
         y = rk.filter("hot").select("key", "id").join(right_words, "id").select("key", "word", F.col("id").alias("r"))
         pairs = pairs.unionByName(x.join(y, ["key", "word"]).filter(order).select("l", "r"))
     return pairs.distinct()
 
 
-def words_of(feats: DataFrame) -> DataFrame:
-    """(``word``, ``id``, ``side``) of what a record states besides its name."""
-    w = F.concat(F.transform("orgs", lambda x: F.xxhash64(F.lit("o"), x)), F.transform("places", lambda x: F.xxhash64(F.lit("p"), x)), "own")
-    return feats.select("id", "side", F.explode(F.array_distinct(w)).alias("word"))
-
-
 def name_level(a: Column, b: Column) -> Column:
     """How well the names of two records agree, from 0 (other surname) to 5 (equal)."""
 
@@ -165,9 +166,8 @@ def link_sources(live: DataFrame, profiles: DataFrame, threshold: float = 0.5) -
     feats = durable(with_links(feats, links), "people")
     keys = name_keys(feats).unionByName(links.select(F.xxhash64(F.lit("l"), "link").alias("key"), "id", "side")).distinct()
     keys = durable(keys, "keys")
-    words = words_of(feats)
     side = lambda df, k: df.filter(F.col("side") == k).drop("side")
-    pairs = candidates(side(keys, 0), side(keys, 1), side(words, 0), side(words, 1))
+    pairs = candidates(side(keys, 0), side(keys, 1))
     votes = pair_votes(pairs, side(feats, 0), side(feats, 1))
     persons = durable(persons_of(profiles, links), "persons")
     # A contradicting link counts only where no link is shared.
