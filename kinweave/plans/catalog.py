@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.durable import durable
 from kinweave.functions.text import link_key, norm_text
 from kinweave.operators import blocking as B
 from kinweave.operators import clusters as C
@@ -126,6 +127,12 @@ def _per_left(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("left_profile_id").agg(F.count("*").alias("n_pairs"), F.max("right_profile_id").alias("last_right"))
 
 
+def _searched(profiles: DataFrame, base: int = 10) -> DataFrame:
+    """The rows that a search takes as queries: those whose id's number (hexadecimal for live records) is divisible by 20."""
+    number = F.conv(F.regexp_extract("profile_id", "([0-9a-f]+)$", 1), base, 10).cast("decimal(20,0)")
+    return profiles.filter(number % 20 == 0)
+
+
 def _names_text(spark: SparkSession, d: str) -> DataFrame:
     """The two reference lists as texts: small tables, taken whole."""
     o = spark.read.parquet(f"{d}/org_reference.parquet").select(F.col("org_id").alias("id"), F.col("name").alias("text"))
@@ -382,6 +389,35 @@ def tfidf_knn(spark, d):
     return T.neighbours(_weights(spark, d), 3).select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def _profile_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the normalised texts of all profiles."""
+    t = _once(spark, d).select(F.col("profile_id").alias("id"), K.normalized_text().alias("text"))
+    tf = durable(T.terms(t), "terms")
+    return durable(T.weights(tf, T.fit_idf(tf, t.count())), "weights")
+
+
+def _searched_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(_once(spark, d)).select(F.col("profile_id").alias("id"))
+
+
+@query()
+def tfidf_profile_weights(spark, d):
+    return _profile_weights(spark, d).select("id", "term", F.round("w", 6).alias("w"))
+
+
+@query()
+def tfidf_profile_cosine(spark, d):
+    """Every twentieth profile and all that share a term with it."""
+    w = _profile_weights(spark, d)
+    return T.cosine_pairs(w.join(_searched_ids(spark, d), "id", "left_semi"), w).filter("id <> other").withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def tfidf_profile_knn(spark, d):
+    """The nearest three of every twentieth profile among all profiles."""
+    return T.nearest(_profile_weights(spark, d), _searched_ids(spark, d), 3).withColumn("cosine", F.round("cosine", 6))
+
+
 @query("""WITH V AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), K AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS cosine FROM V a JOIN V b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM K) WHERE rank <= 5""")
 def embedding_knn(spark, d):
@@ -755,12 +791,6 @@ def _fixed_matcher() -> D.Matcher:
     return D.Matcher(list(COEFFICIENTS), COEFFICIENTS, INTERCEPT, D.Calibrator(), 0.5, MATCH, NON_MATCH)
 
 
-def _searched(profiles: DataFrame, base: int = 10) -> DataFrame:
-    """The rows that a search takes as queries: those whose id's number (hexadecimal for live records) is divisible by 20."""
-    number = F.conv(F.regexp_extract("profile_id", "([0-9a-f]+)$", 1), base, 10).cast("decimal(20,0)")
-    return profiles.filter(number % 20 == 0)
-
-
 @query()
 def live_resolve(spark, d):
     """Every twentieth live record against all profiles."""
