@@ -418,6 +418,34 @@ def tfidf_profile_knn(spark, d):
     return T.nearest(_profile_weights(spark, d), _searched_ids(spark, d), 3).withColumn("cosine", F.round("cosine", 6))
 
 
+def _blocked(spark: SparkSession, d: str) -> DataFrame:
+    """What the blocker gives: candidates of all rules and of the nearest three texts of every profile."""
+    w = _profile_weights(spark, d)
+    near = durable(T.nearest(w, w.select("id"), 3).select("id", "other"), "neighbours")
+    return durable(B.block(durable(_keys(spark, d), "keys"), near), "candidates")
+
+
+@query()
+def candidate_reasons(spark, d):
+    c = _blocked(spark, d)
+    return c.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n_pairs"), F.min("left_profile_id").alias("first_left"), F.max("right_profile_id").alias("last_right"))
+
+
+@query()
+def candidate_rule_stats(spark, d):
+    return B.rule_stats(_blocked(spark, d), B.gold_pairs(_once(spark, d))).withColumn("precision", F.round("precision", 6))
+
+
+@query()
+def candidate_recall(spark, d):
+    return B.blocking_recall(_blocked(spark, d), B.gold_pairs(_once(spark, d))).withColumn("recall", F.round("recall", 6))
+
+
+@query()
+def candidate_volume(spark, d):
+    return B.volume_ratio(_blocked(spark, d), _once(spark, d)).withColumn("ratio", F.round("ratio", 9))
+
+
 @query("""WITH V AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), K AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS cosine FROM V a JOIN V b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM K) WHERE rank <= 5""")
 def embedding_knn(spark, d):
