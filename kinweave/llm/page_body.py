@@ -52,7 +52,6 @@ DROP_WEIGHT, CLIP = -1.0, 3.0
 #: So is one that opens with two words seen outside of main subtrees on this share of the pages, and this often of
 #: all times, unless its first three words are common inside of them and rarer than that outside.
 OPENING_PAGES, OPENING_OUTSIDE = 0.002, 0.15
-MAX_TOKENS = 400
 
 PARSED = "page_id string, fetched_at timestamp, parent array<int>, node array<int>, inside array<boolean>, lens array<int>, words array<int>"
 
@@ -167,7 +166,7 @@ def _ends(parent) -> list[int]:
 
 def _word_ids(run: str, memo: dict[str, int]) -> list[int]:
     out = []
-    for w in _WORD.findall(_HOST.sub("HOST", run.lower()))[:MAX_TOKENS]:
+    for w in _WORD.findall(_HOST.sub("HOST", run.lower())):
         i = memo.get(w)
         if i is None:
             i = zlib.crc32((w if not w.isdigit() else "#").encode())  # numbers are alike
@@ -295,8 +294,7 @@ def main_runs(pages: DataFrame, passes: int = PASSES) -> DataFrame:
     ``pages`` has ``page_id``, ``html`` and ``fetched_at``. A page delivered more than once counts
     with its latest delivery (ties: the larger parse); null ids and null or empty html give no rows,
     neither does a page without text. Markup that is not well formed is repaired. Long texts are
-    parsed whole; of a run longer than ``MAX_TOKENS`` words the first ones are weighed. An empty
-    table gives an empty result.
+    parsed and weighed whole. An empty table gives an empty result.
     """
     rows = pages.select("page_id", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "html").filter("page_id is not null and html <> ''")
     parsed = rows.mapInPandas(_parse, PARSED)

@@ -136,3 +136,9 @@ def test_label_model_learns_accuracies():
     guess = p[inv.ravel()] >= 0.5
     assert (guess == y).mean() > 0.88
     assert len(LabelModel([2], [[0.5, 2]]).fit(np.zeros((0, 1), int), np.zeros(0))) == 0
+
+
+def test_long_runs_are_weighed_whole():
+    from kinweave.llm.page_body import _word_ids
+
+    assert len(_word_ids("word " * 1000 + "end", {})) == 1001
