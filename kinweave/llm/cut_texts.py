@@ -9,12 +9,19 @@ from the end backwards; a longer context is shrunk towards the next shorter one.
   positions inside of texts that go on, times the cut texts expected;
 * ``b`` is the number of whole texts that end with it, the value itself left out, plus a share of
   ``LOOSE`` for places inside of texts where a mark that ends a sentence follows (the mark may be
-  missing at the end of carelessly written texts).
+  missing at the end of carelessly written texts);
+* ``w`` is the share of its places inside of texts where the word ends there. Whole texts end with whole
+  words, so a small ``w`` speaks for a cut however few texts end with this context.
 
 The log-odds of cut against whole are thresholded at a prior for each column value's source and
-length, where piles at a field limit show, and each language. Who is whole enters ``b`` and the
-priors, so both are re-estimated ``ROUNDS`` times. Counts are taken over the whole texts of all
-documents; only contexts that some text ends with are kept, which a Bloom filter of bounded size sees to.
+length (in characters and in bytes), where piles at a field limit show, each language and each mark. Who is
+whole enters ``b`` and the priors, so both are re-estimated ``ROUNDS`` times. Counts are taken over the whole
+texts of all documents; only contexts that some text ends with are kept, which a Bloom filter of bounded size
+sees to.
+
+What a system writes behind a cut ("... more", "[...]") is learned: a closing that begins with a mark or a new
+line is one of these marks if the texts before it end like cut texts behind many different words. It is
+taken off, and the text before it is judged. An ellipsis is always taken off.
 """
 
 from __future__ import annotations
@@ -28,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.durable import durable
+from kinweave.durable import durable, release
 
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 20)
 SHAPES = (1, 2, 3, 4, 6)
 #: Characters from the end of a text that hold every context (a shape token is cut at 24 characters).
 TAIL = 160
 START_RATE, LOOSE, SHRINK, ROUNDS = 0.06, 0.1, 0.7, 3
+#: A closing has at most so many characters; the odds before anything is known that it marks a cut, and the most that one word before it can say.
+CLOSING, MARK_ODDS, WORD_SAYS = 24, 0.01, 4.0
+#: A whole text ends inside of a word (a slip of the pen) in one of so many cases.
+SLIP = 0.01
 #: Rows that a prior of its own needs, in units of observations lent by the wider group.
 LENT = 4.0
 MAX_BLOOM_BITS = 1 << 28
@@ -98,6 +109,11 @@ def _lower(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _in_word(codes: np.ndarray) -> np.ndarray:
+    kind = np.where(codes < 0x3000, _classes()[np.minimum(codes, 0x2FFF)], 0)
+    return (kind == _SMALL) | (kind == _CAPITAL) | (kind == _NUMBER)
+
+
 def context_hashes(codes: np.ndarray, at: np.ndarray, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, hashes) of every context kind that ends at one of the positions ``at``.
 
@@ -157,17 +173,53 @@ def _trimmed(text: str) -> str:
     return t if t.strip() else text
 
 
+def closings(text: str) -> list[str]:
+    """Strings at the end of the text that may be a mark behind a cut: they begin with a mark (a run of equal ones counts as one) or a line break, blanks before them included."""
+    tail, out = text.rstrip()[-CLOSING - 1 :], []
+    for i in range(1, len(tail)):
+        c, before = tail[i], tail[i - 1]
+        if c.isalnum() or (c.isspace() and c != "\n") or c == before:
+            continue
+        j = i
+        while j > 1 and tail[j - 1].isspace():
+            j -= 1
+        said = tail[j:]
+        if len(said.strip()) > 1 and said.strip("….") and (tail[j - 1].isalnum() or j < i):
+            out.append(said)
+    return list(dict.fromkeys(out))
+
+
+def _offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        unit, said, word = [], [], []
+        for u, t in zip(b.column("unit").to_pylist(), b.column("text").to_pylist()):
+            for c in closings(t):
+                head = t.rstrip()[-CLOSING - 60 :][: -len(c)]
+                unit.append(u)
+                said.append(c)
+                word.append(head.rstrip().rsplit(None, 1)[-1] if head.strip() else "")
+        yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(said, pa.string()), pa.array(word, pa.string())], names=["unit", "closing", "word"])
+
+
+def _without(text: str, closing: str | None) -> str:
+    return _trimmed(text) if closing is None else _trimmed(text.rstrip()[: -len(closing)].rstrip()) or text
+
+
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [_trimmed(t)[-TAIL:] for t in b.column("text").to_pylist()]
+        texts = [_without(t, c)[-TAIL:] for t, c in zip(b.column("text").to_pylist(), b.column("closing").to_pylist())]
         if not texts:
             continue
         codes, at = _codes(texts)
         last = np.append(at[1:], len(codes)) - 1
         hashes = np.stack([h for _, h in context_hashes(codes, last)], 1)
         yield pa.RecordBatch.from_arrays(
-            [b.column("unit"), pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, hashes.shape[1], dtype=np.int32)), pa.array(hashes.astype(np.uint64).view(np.int64).ravel()))],
-            names=["unit", "ctx"],
+            [
+                b.column("unit"),
+                b.column("closing"),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, hashes.shape[1], dtype=np.int32)), pa.array(hashes.astype(np.uint64).view(np.int64).ravel())),
+            ],
+            names=["unit", "closing", "ctx"],
         )
 
 
@@ -193,17 +245,21 @@ def _counter(bloom: np.ndarray, bits: int):
                 after = np.append(codes[1:], 0)
                 inner = (codes != 0) & (after != 0)
                 stop = np.isin(after, _STOPS) & inner
-                hs, ss = [], []
+                word = _in_word(codes)
+                run = word & np.append(word[1:], False)
+                hs, ss, rs = [], [], []
                 for at, h in context_hashes(codes, np.flatnonzero(inner), hit):
                     hs.append(h)
                     ss.append(stop[at])
+                    rs.append(run[at])
                 h, s = np.concatenate(hs), np.concatenate(ss)
                 inv, u = pd.factorize(h)  # by hashing; sorting would cost most of the pass
                 stops = np.bincount(inv, s, len(u))
+                runs = np.append(np.bincount(inv, np.concatenate(rs), len(u)), [run.sum(), word.sum()])
                 every = np.bincount(inv, minlength=len(u))
                 u = np.append(u.view(np.int64), [0, 1])  # rows 0 and 1 carry the totals
                 goes, stops = np.append(every - stops, [inner.sum() - stop.sum(), 0]), np.append(stops, [0, stop.sum()])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(goes.astype(np.float64)), pa.array(stops.astype(np.float64))], names=["h", "goes", "stops"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(goes.astype(np.float64)), pa.array(stops.astype(np.float64)), pa.array(runs.astype(np.float64))], names=["h", "goes", "stops", "runs"])
 
     return count
 
@@ -224,28 +280,47 @@ def _bloom_words(bits: int):
     return words
 
 
-def _chain(n_units: float, inner_goes: float, inner_stops: float, rate: float):
+def _chain(n_units: float, inner_goes: float, inner_stops: float, in_word: float, rate: float):
     kinds = len(LENGTHS)
 
-    @F.pandas_udf("double")
-    def odds(k: pd.Series, goes: pd.Series, stops: pd.Series, ends: pd.Series) -> pd.Series:
+    @F.pandas_udf("evidence double, inside double")
+    def odds(k: pd.Series, goes: pd.Series, stops: pd.Series, runs: pd.Series, ends: pd.Series, own: pd.Series) -> pd.DataFrame:
         if not len(k):
-            return pd.Series([], dtype=float)
-        order = np.argsort(np.stack(k.to_numpy()), 1)  # every unit has each kind once
-        g, s, e = (np.take_along_axis(np.stack(x.to_numpy()), order, 1) for x in (goes, stops, ends))
+            return pd.DataFrame({"evidence": [], "inside": []}, dtype=float)
+        order = np.argsort(np.stack(k.to_numpy()), 1)  # every row has each kind once
+        g, s, r, e = (np.take_along_axis(np.stack(x.to_numpy()), order, 1) for x in (goes, stops, runs, ends))
+        e = np.maximum(0, e)
         a = rate * n_units * g / inner_goes
-        b = np.maximum(0, e) + LOOSE * n_units * s / max(1.0, inner_stops)
+        b = e + LOOSE * n_units * s / max(1.0, inner_stops)
         total = np.zeros(len(k))
         for part in (range(kinds), range(kinds, g.shape[1])):
             q = np.full(len(k), 1 - rate)
             for i in part:
                 q = (b[:, i] + SHRINK * q) / (a[:, i] + b[:, i] + SHRINK)
             total += np.log(np.maximum(1e-9, 1 - q) / np.maximum(1e-9, q)) - math.log(rate / (1 - rate))
-        return pd.Series(total)  # of the evidence alone, without the prior
+        w, mine = np.full(len(k), 1 - in_word), own.to_numpy(float)  # before a closing the context stands inside of its own text
+        for i in range(kinds):
+            places = np.maximum(r[:, i], g[:, i] + s[:, i] - mine) + e[:, i]
+            w = (places - r[:, i] + w) / (places + 1)
+        inside = np.log((1 - in_word) / (np.clip(w, 0, 1) * (1 - SLIP) + SLIP))
+        return pd.DataFrame({"evidence": total + np.maximum(0, inside), "inside": inside})  # without the prior
 
     return odds
 
 
+def _by_context(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Join on ``h``. Contexts that a thousandth of all rows end with (``hot``; at most 1000 for each kind of context) are broadcast, the others shuffled."""
+    hot = rows.filter("hot").drop("hot").join(F.broadcast(table.join(F.broadcast(rows.filter("hot").select("h").distinct()), "h", "left_semi")), "h")
+    return hot.unionByName(rows.filter("not hot").drop("hot").join(table, "h"))
+
+
+def _marks(scored: DataFrame) -> DataFrame:
+    """Closings that mark a cut: the texts before them end inside of words, behind many different ones."""
+    says = F.greatest(F.lit(-WORD_SAYS), F.least(F.lit(WORD_SAYS), F.avg("inside")))
+    words = scored.filter("closing is not null").groupBy("closing", "word").agg(says.alias("says"))
+    return words.groupBy("closing").agg(F.sum("says").alias("says")).filter(F.col("says") + math.log(MARK_ODDS / (1 - MARK_ODDS)) > 0).select("closing")
+
+
 def cut_scores(docs: DataFrame) -> DataFrame:
     """Each document with its posterior: (``doc_id``, ``source``, ``lang``, ``p_cut``).
 
@@ -255,47 +330,74 @@ def cut_scores(docs: DataFrame) -> DataFrame:
     """
     rows = docs.filter("text is not null").select("doc_id", "text", F.coalesce("source", F.lit("?")).alias("source"), F.coalesce("lang", F.lit("?")).alias("lang"))
     keyed = rows.withColumn("unit", F.xxhash64("text", "source"))
-    final = keyed.filter("trim(text) <> ''").select("unit", "text").mapInArrow(_final, "unit long, ctx array<long>").groupBy("unit").agg(F.first("ctx").alias("ctx"))
-    final = durable(final, "final")
-    n_units = final.count()
-    plain = keyed.select("doc_id", "source", "lang", "unit", F.length("text").alias("n"))
+    plain = keyed.select("doc_id", "source", "lang", "unit", F.length("text").alias("n"), F.octet_length("text").alias("bytes"))
+    units = keyed.filter("trim(text) <> ''").select("unit", F.substring("text", -TAIL - CLOSING, TAIL + CLOSING).alias("text"))
+    offered = durable(units.mapInArrow(_offered, "unit long, closing string, word string").distinct(), "closings")
+    usual = offered.groupBy("closing").agg(F.min("word").alias("a"), F.max("word").alias("b")).filter("a <> b").select("closing")
+    probes = offered.join(usual, "closing")
+    tails = units.select("unit", "text").withColumn("closing", F.lit(None).cast("string")).unionByName(units.join(probes, "unit").select("unit", "text", "closing"))
+    final = tails.mapInArrow(_final, "unit long, closing string, ctx array<long>").groupBy("unit", "closing").agg(F.first("ctx").alias("ctx"))
+    final = durable(final.withColumn("row", F.xxhash64("unit", "closing")), "final")
+    n_rows, n_units = (int(x or 0) for x in final.agg(F.count("*"), F.sum(F.col("closing").isNull().cast("long"))).first())
     if not n_units:
+        release(offered, final)
         return plain.select("doc_id", "source", "lang", F.lit(0.0).alias("p_cut"))
-    bits = min(MAX_BLOOM_BITS, 1 << max(16, math.ceil(math.log2(16 * n_units * (len(LENGTHS) + len(SHAPES))))))
+    bits = min(MAX_BLOOM_BITS, 1 << max(16, math.ceil(math.log2(16 * n_rows * (len(LENGTHS) + len(SHAPES))))))
     words = final.select("ctx").mapInArrow(_bloom_words(bits), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most bits / 64 rows
     bloom = np.zeros(bits // 64, np.uint64)
     bloom[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
-    counts = rows.select("text").mapInArrow(_counter(bloom.view(np.uint8), bits), "h long, goes double, stops double").groupBy("h").agg(F.sum("goes").alias("goes"), F.sum("stops").alias("stops"))
-    counts = durable(counts, "counts")
+    counts = rows.select("text").mapInArrow(_counter(bloom.view(np.uint8), bits), "h long, goes double, stops double, runs double").groupBy("h")
+    counts = durable(counts.agg(F.sum("goes").alias("goes"), F.sum("stops").alias("stops"), F.sum("runs").alias("runs")), "counts")
     total = {r["h"]: r for r in counts.filter("h in (0, 1)").collect()}
     inner_goes, inner_stops = max(1.0, total[0]["goes"]), total[1]["stops"]
-    ctx = final.select("unit", F.posexplode("ctx").alias("k", "h")).join(counts, "h", "left")
-    ctx = durable(ctx.select("unit", "k", "h", F.coalesce("goes", F.lit(0.0)).alias("goes"), F.coalesce("stops", F.lit(0.0)).alias("stops")), "contexts")
-    about = durable(plain.groupBy("unit").agg(F.first("source").alias("source"), F.first("lang").alias("lang"), F.first("n").alias("n")), "units")
-    weights, rate = None, START_RATE
+    in_word = total[0]["runs"] / max(1.0, total[1]["runs"])
+    single = final.select("row", F.posexplode("ctx").alias("k", "h"))
+    often = single.groupBy("h").count().filter(F.col("count") * 1000 >= n_rows).select("h", F.lit(True).alias("hot"))  # at most 1000 for each kind
+    single = single.join(F.broadcast(often), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    every = single.select("h", "hot").distinct().join(counts, "h", "left").select("h", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("goes", "stops", "runs")])
+    ctx = durable(_by_context(single, every).join(final.select("row", "unit", "closing"), "row").join(F.broadcast(often), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "contexts")
+    about = durable(plain.groupBy("unit").agg(*[F.first(c).alias(c) for c in ("source", "lang", "n", "bytes")]), "units")
+    weights, rate, old = None, START_RATE, []
     for turn in range(ROUNDS):
-        c = ctx if weights is None else ctx.join(weights, "unit")
-        c = c.withColumn("w", F.lit(1 - START_RATE) if weights is None else F.col("whole"))
+        if weights is None:
+            c = ctx.withColumn("w", F.when(F.col("closing").isNull(), 1 - START_RATE).otherwise(0.0))
+        else:
+            c = ctx.join(weights.select("row", F.col("whole").alias("w")), "row")
         ends = c.groupBy("h").agg(F.sum("w").alias("ends"))
-        c = c.join(ends, "h").groupBy("unit").agg(
-            F.collect_list("k").alias("k"), F.collect_list("goes").alias("goes"), F.collect_list("stops").alias("stops"), F.collect_list(F.col("ends") - F.col("w")).alias("ends")
+        c = _by_context(c, ends).groupBy("row").agg(
+            F.first("unit").alias("unit"), F.first("closing").alias("closing"), *[F.collect_list(x).alias(x) for x in ("k", "goes", "stops", "runs")], F.collect_list(F.col("ends") - F.col("w")).alias("ends")
         )
-        scored = durable(c.select("unit", _chain(float(n_units), inner_goes, inner_stops, rate)("k", "goes", "stops", "ends").alias("evidence")).join(about, "unit"), "scored")
-        # Priors: the rate of the source at this very length, lent from the source, and of the language, all from evidence at the common prior.
-        p = 1 / (1 + F.exp(-(F.col("evidence") + math.log(rate / (1 - rate)))))
-        base = scored.withColumn("p", p)
+        odds = _chain(float(n_units), inner_goes, inner_stops, in_word, rate)("k", "goes", "stops", "runs", "ends", F.col("closing").isNotNull().cast("double"))
+        scored = durable(c.select("row", "unit", "closing", odds.alias("o")).select("row", "unit", "closing", "o.*"), "scored")
+        if turn == 0:  # which mark a text carries, if any, is settled here
+            marks = _marks(scored.join(probes, ["unit", "closing"]))
+            marked = scored.filter("closing is not null").join(marks, "closing", "left_semi").groupBy("unit").agg(F.max_by("closing", F.length("closing")).alias("mark"))
+            chosen = durable(scored.join(marked, "unit", "left").filter(F.col("closing").eqNullSafe(F.col("mark"))).drop("mark"), "chosen")
+            release(scored)
+            scored = chosen
+        cut_off = F.length(F.coalesce("closing", F.lit("")))
+        base = scored.join(about, "unit").withColumn("n", F.col("n") - cut_off).withColumn("bytes", F.col("bytes") - F.octet_length(F.coalesce("closing", F.lit(""))))
+        # Priors: the rate of the source at this very length, lent from the source, and of the language and the mark, all from evidence at the common prior.
+        base = base.withColumn("mark", F.coalesce("closing", F.lit(""))).withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + math.log(rate / (1 - rate))))))
         all_ = base.agg(F.avg("p")).first()[0]
-        by_source = base.groupBy("source").agg(((F.sum("p") + LENT * all_) / (F.count("*") + LENT)).alias("ps"))
-        by_lang = base.groupBy("lang").agg(((F.sum("p") + 10 * LENT * all_) / (F.count("*") + 10 * LENT)).alias("pl"))
-        by_length = base.groupBy("source", "n").agg(F.sum("p").alias("hits"), F.count("*").alias("cases"))
-        prior = base.join(by_source, "source").join(by_lang, "lang").join(by_length, ["source", "n"])
-        own = (F.col("hits") - F.col("p") + LENT * F.col("ps")) / (F.col("cases") - 1 + LENT)
+        share = lambda lent: ((F.sum("p") + lent * all_) / (F.count("*") + lent))
         logit = lambda x: F.log(x / (1 - x))
         safe = lambda x: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), x))
-        z = F.col("evidence") + logit(safe(own)) + logit(safe(F.col("pl"))) - logit(safe(F.lit(all_)))
-        weights = durable(prior.select("unit", (1 - 1 / (1 + F.exp(-z))).alias("whole")), "weights")
+        above = lambda x: logit(safe(x)) - logit(safe(F.lit(all_)))
+        prior = base.join(base.groupBy("source").agg(share(LENT).alias("ps")), "source").join(base.groupBy("lang").agg(share(10 * LENT).alias("pl")), "lang")
+        prior = prior.join(base.groupBy("mark").agg(share(LENT).alias("pm")), "mark")
+        own = []
+        for unit in ("n", "bytes"):
+            hits, cases = f"hits_{unit}", f"cases_{unit}"
+            prior = prior.join(base.groupBy("source", unit).agg(F.sum("p").alias(hits), F.count("*").alias(cases)), ["source", unit])
+            own.append((F.col(hits) - F.col("p") + LENT * F.col("ps")) / (F.col(cases) - 1 + LENT))
+        z = F.col("evidence") + logit(safe(F.greatest(*own))) + above(F.col("pl")) + above(F.col("pm"))
+        weights = durable(prior.select("row", "unit", (1 - 1 / (1 + F.exp(-z))).alias("whole")), "weights")
         rate = min(0.5, max(1e-3, weights.agg(F.avg(1 - F.col("whole"))).first()[0]))
-    return plain.join(weights, "unit", "left").select("doc_id", "source", "lang", (1 - F.coalesce("whole", F.lit(1.0))).alias("p_cut"))
+        release(*old)
+        old = [scored, weights]
+    release(offered, final, counts, ctx, about, scored)
+    return plain.join(weights.select("unit", "whole"), "unit", "left").select("doc_id", "source", "lang", (1 - F.coalesce("whole", F.lit(1.0))).alias("p_cut"))
 
 
 def cut_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
