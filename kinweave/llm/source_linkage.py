@@ -1,9 +1,8 @@
 """Matching entities across sources without keys (problem 5).
 
-Method: label-model linkage. Candidate pairs come from equi-joins on keys (a link of one's own; the
-first or last five letters of a surname with an initial; a given name with an organisation word and a
-place word). Matching functions vote on each candidate: name, link, organisation and place, each with
-a few levels, among them "can't tell" and "contradicts". A generative model (:mod:`label_model`) learns
+Method: label-model linkage. Candidate pairs come from two joins: names that are similar as n-gram vectors
+(:mod:`name_vectors`), and a link of one's own. Matching functions vote on each candidate: name, link, organisation and
+place, each with a few levels, among them "can't tell" and "contradicts". A generative model (:mod:`label_model`) learns
 from the table of vote patterns how often each level occurs among matches and non-matches, and which
 voters depend on each other; its posterior is the confidence.
 
@@ -20,21 +19,20 @@ from pyspark.sql import functions as F
 from kinweave.durable import durable
 from kinweave.llm.forest_split import id_key
 from kinweave.llm.label_model import LabelModel
+from kinweave.llm.name_vectors import blocked_join, name_pairs
 from kinweave.llm.people import people_features, records
 
-#: Records of one key that meet in one task, on either side; the pairs of a key with more are spread over several.
-KEY_BLOCK = 512
 NAME, LINK, ORG, PLACE = range(4)
-LEVELS = [6, 3, 4, 3]
+LEVELS = [6, 4, 5, 4]
 #: Odds for a match that each level starts with, before anything is learned.
-LEAN = [[0.01, 0.02, 0.3, 0.8, 3, 4], [0.02, 0.8, 60], [0.3, 0.9, 3, 8], [0.4, 0.9, 4]]
+LEAN = [[0.01, 0.02, 0.3, 0.8, 3, 4], [0.02, 0.8, 0.1, 60], [0.3, 0.9, 0.9, 3, 8], [0.4, 0.9, 0.9, 4]]
 
 
 def sure(v) -> int | None:
     """What needs no learning: a shared link and a name that doesn't contradict; another name and no shared link."""
-    if v[LINK] == 2 and v[NAME] >= 2:
+    if v[LINK] == 3 and v[NAME] >= 2:
         return 1
-    if v[LINK] != 2 and v[NAME] <= 1:
+    if v[LINK] != 3 and v[NAME] <= 1:
         return 0
     return None
 
@@ -46,45 +44,10 @@ def with_links(feats: DataFrame, links: DataFrame) -> DataFrame:
     return feats.join(mine, ["id", "side"], "left").withColumns({"own": F.coalesce("own", none), "hosts": F.coalesce("hosts", none)})
 
 
-def name_keys(feats: DataFrame) -> DataFrame:
-    """(``key``, ``id``, ``side``): what candidates by name agree on."""
-    n = feats.select("id", "side", "orgs", "places", F.explode("names").alias("n"))
-    initials = F.array_distinct(F.transform("n.alts", lambda a: F.substring(a, 1, 1)))
-    ends = F.array_distinct(F.array(F.concat(F.lit("<"), F.substring("n.s", 1, 5)), F.concat(F.lit(">"), F.expr("right(n.s, 5)"))))
-    by_name = F.flatten(F.transform(initials, lambda i: F.transform(ends, lambda e: F.xxhash64(i, e))))
-    words = F.flatten(F.transform("orgs", lambda o: F.transform("places", lambda p: F.xxhash64(F.lit("w"), F.col("n.g"), o, p))))
-    words = F.when(F.length("n.g") > 2, words).otherwise(F.array().cast("array<bigint>"))
-    return n.select(F.explode(F.array_distinct(F.concat(by_name, words))).alias("key"), "id", "side").distinct()
-
-
-def candidates(left_keys: DataFrame, right_keys: DataFrame, left_words: DataFrame | None = None, right_words: DataFrame | None = None, same: bool = False, hot_pairs: int | None = None) -> DataFrame:
-    """Distinct pairs (``l``, ``r``) that share a key; ``same``: both sides are one table, ``l < r``.
-
-    Keys are (``key``, ``id``). Every pair of a key comes out, however many records have it: a key is joined in
-    blocks of ``KEY_BLOCK`` records of each side, so none is one task's. Only if ``hot_pairs`` is given, a key that
-    would make more pairs is joined on key and word (``word``, ``id``), and pairs that share nothing else are left out.
-    """
-    a = left_keys.groupBy("key").agg(F.count("*").alias("na"))
-    b = right_keys.groupBy("key").agg(F.count("*").alias("nb"))
-    sizes = a.join(b, "key").withColumn("hot", F.lit(False) if hot_pairs is None else F.col("na") * F.col("nb") > hot_pairs)
-    if same:
-        sizes = sizes.filter("na > 1")
-    blocks = [F.ceil(F.col(n) / KEY_BLOCK).cast("int").alias(x) for n, x in (("na", "ba"), ("nb", "bb"))]
-    sizes = durable(sizes.select("key", "hot", *blocks), "sizes")
-    order = F.expr("l < r") if same else F.lit(True)
-    lk, rk = left_keys.join(sizes, "key"), right_keys.join(sizes, "key")
-
-    def spread(k: DataFrame, name: str, mine: str, others: str) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
-        at = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")
-        return k.filter("not hot").select("key", F.col("id").alias(name), at.alias(mine), every.alias(others))
-
-    pairs = spread(lk, "l", "ba", "bb").join(spread(rk, "r", "bb", "ba"), ["key", "ba", "bb"]).filter(order).select("l", "r")
-    if hot_pairs is not None and not sizes.filter("hot").isEmpty():
-        x = lk.filter("hot").select("key", "id").join(left_words, "id").select("key", "word", F.col("id").alias("l"))
-        y = rk.filter("hot").select("key", "id").join(right_words, "id").select("key", "word", F.col("id").alias("r"))
-        pairs = pairs.unionByName(x.join(y, ["key", "word"]).filter(order).select("l", "r"))
-    return pairs.distinct()
+def link_pairs(links: DataFrame) -> DataFrame:
+    """Pairs (``l``, ``r``) of records of side 0 and side 1 that state a link of their own in common."""
+    on = lambda k, name: links.filter(F.col("side") == k).select(F.col("link").alias("key"), F.col("id").alias(name)).distinct()
+    return blocked_join(on(0, "l"), on(1, "r")).select("l", "r").distinct()
 
 
 def name_level(a: Column, b: Column) -> Column:
@@ -111,25 +74,26 @@ def name_level(a: Column, b: Column) -> Column:
 
 
 def link_level(a: str, b: str) -> Column:
+    """0: other links of one's own on one host; 1: one side has none; 2: others, on other hosts; 3: one in common."""
     own = F.arrays_overlap(f"{a}.own", f"{b}.own")
     host = F.arrays_overlap(f"{a}.hosts", f"{b}.hosts")
-    return F.when(own, 2).when(host, 0).otherwise(1)
+    none = (F.size(f"{a}.own") == 0) | (F.size(f"{b}.own") == 0)
+    return F.when(own, 3).when(none, 1).when(host, 0).otherwise(2)
 
 
-def word_level(a: Column, b: Column, most: int) -> Column:
-    n = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 1).when(n == 0, 0).otherwise(F.least(F.lit(most), n + 1))
+def word_level(a: str, b: str, words: str, most: int) -> Column:
+    """0: none in common; 1: one side has none at all; 2: common words only; from 3: so many others, up to level ``most``."""
+    one = lambda t: (F.size(f"{t}.{words}") == 0) & (F.size(f"{t}.common_{words}") == 0)
+    n = F.size(F.array_intersect(f"{a}.{words}", f"{b}.{words}"))
+    return F.when(one(a) | one(b), 1).when(n > 0, F.least(F.lit(most), n + 2)).when(F.arrays_overlap(f"{a}.common_{words}", f"{b}.common_{words}"), 2).otherwise(0)
 
 
-def pair_votes(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Votes of the four matching functions for each pair (``l``, ``r``)."""
+def pair_votes(pairs: DataFrame, left: DataFrame, right: DataFrame, more=lambda a, b: {}) -> DataFrame:
+    """``pairs`` (``l``, ``r``, other columns) with the votes of the matching functions."""
     a, b = left.select(F.col("id").alias("l"), F.struct("*").alias("a")), right.select(F.col("id").alias("r"), F.struct("*").alias("b"))
     met = pairs.join(a, "l").join(b, "r")
-    return met.select(
-        "l", "r",
-        name_level(F.col("a.names"), F.col("b.names")).alias("v0"), link_level("a", "b").alias("v1"),
-        word_level(F.col("a.orgs"), F.col("b.orgs"), 3).alias("v2"), word_level(F.col("a.places"), F.col("b.places"), 2).alias("v3"),
-    )
+    votes = {"v0": name_level(F.col("a.names"), F.col("b.names")), "v1": link_level("a", "b"), "v2": word_level("a", "b", "orgs", 4), "v3": word_level("a", "b", "places", 3)}
+    return met.withColumns(votes | more("a", "b")).drop("a", "b")
 
 
 def posteriors(votes: DataFrame, levels: list[int] = LEVELS, lean: list[list[float]] = LEAN, anchor=sure) -> tuple[DataFrame, LabelModel]:
@@ -164,15 +128,13 @@ def link_sources(live: DataFrame, profiles: DataFrame, threshold: float = 0.5) -
     """
     feats, links = people_features(records(live, 0, topics=False).unionByName(records(profiles, 1, topics=False)))
     feats = durable(with_links(feats, links), "people")
-    keys = name_keys(feats).unionByName(links.select(F.xxhash64(F.lit("l"), "link").alias("key"), "id", "side")).distinct()
-    keys = durable(keys, "keys")
     side = lambda df, k: df.filter(F.col("side") == k).drop("side")
-    pairs = candidates(side(keys, 0), side(keys, 1))
+    pairs = name_pairs(feats, same=False).select("l", "r").unionByName(link_pairs(links)).distinct()
     votes = pair_votes(pairs, side(feats, 0), side(feats, 1))
     persons = durable(persons_of(profiles, links), "persons")
     # A contradicting link counts only where no link is shared.
     pooled = votes.join(persons, "r").groupBy("l", "person", "named").agg(
-        F.max("v0").alias("v0"), F.when(F.max("v1") == 2, 2).otherwise(F.min("v1")).alias("v1"), F.max("v2").alias("v2"), F.max("v3").alias("v3")
+        F.max("v0").alias("v0"), F.when(F.max("v1") == 3, 3).when(F.min("v1") == 0, 0).otherwise(F.max("v1")).alias("v1"), F.max("v2").alias("v2"), F.max("v3").alias("v3")
     )
     pooled = durable(pooled, "votes")
     scored, _ = posteriors(pooled)
