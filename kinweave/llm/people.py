@@ -230,7 +230,11 @@ def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = durable(rows, "records")
     base = durable(rows.drop("links", "aliases").mapInPandas(_features, FEATURES), "features")
     n = base.count()
-    words = base.select(F.explode(F.concat(*[F.transform(c, lambda w, c=c: F.struct(F.lit(c).alias("c"), w.alias("w"))) for c in WORDS])).alias("x"))
+
+    def labelled(c: str):
+        return F.transform(c, lambda w: F.struct(F.lit(c).alias("c"), w.alias("w")))
+
+    words = base.select(F.explode(F.concat(*[labelled(c) for c in WORDS])).alias("x"))
     # A record has each word once, so there are at most the words of a record over the share.
     common = words.groupBy("x.c", "x.w").count().filter(F.col("count") > max(COMMON_RECORDS, COMMON_SHARE * n)).collect()
     feats = base
