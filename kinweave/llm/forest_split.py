@@ -10,6 +10,8 @@ placed first, each in the split that lacks most.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from kinweave.durable import durable, release
 
 #: Splits and their shares.
 SPLITS = (("train", 0.6), ("validation", 0.2), ("test", 0.2))
-#: Sub-lists of a band that are numbered on their own, so that no task sorts a whole band.
-LANES = 64
+#: Roots in a sub-list of a band that is numbered on its own, so that no task sorts a whole band.
+LANE_ROOTS = 250_000
 GOLDEN = 0.6180339887498949
 
 
@@ -95,7 +97,8 @@ def deal_roots(sizes: DataFrame, splits=SPLITS, giant_share: float = 0.002) -> D
     ordered by a hash of the root, so equal input gives equal splits. Empty input gives an empty result.
     """
     names, shares = [s for s, _ in splits], [p for _, p in splits]
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    count, total = (x or 0 for x in sizes.agg(F.count("*"), F.sum("n")).first())
+    n_lanes = max(8, math.ceil(count / LANE_ROOTS))
     limit = max(1.0, total * giant_share)
     giants = sorted(((r["n"], r["root"]) for r in sizes.filter(F.col("n") > limit).collect()), reverse=True)
     got = [0] * len(names)
@@ -110,8 +113,8 @@ def deal_roots(sizes: DataFrame, splits=SPLITS, giant_share: float = 0.002) -> D
         "root",
         F.floor(F.log2("n")).cast("int").alias("band"),
         F.xxhash64("root").alias("h"),
-    ).withColumn("lane", F.pmod("h", F.lit(LANES)).cast("int"))
-    # At most 64 bands times LANES rows.
+    ).withColumn("lane", F.pmod("h", F.lit(n_lanes)).cast("int"))
+    # At most 64 bands times the lanes.
     lanes = {(r["band"], r["lane"]): r["count"] for r in small.groupBy("band", "lane").count().collect()}
     start, at = [], 0
     for key in sorted(lanes, reverse=True):
@@ -170,12 +173,14 @@ def grouped_splits(profiles: DataFrame, examples: DataFrame, splits=SPLITS) -> D
 def split_breaches(profiles: DataFrame, examples: DataFrame) -> DataFrame:
     """Persons whose rows as left person carry more than one delivered split: (``canonical_person_id``).
 
-    The persons are the person vertices of the forest that :func:`grouped_splits` deals; the id is
+    The delivered splits are gathered over the rows below each root of the forest that :func:`grouped_splits` deals. Only
+    below a root with more than one can a person have more than one, and there the persons are told apart. The id is
     written as in profiles (the smallest spelling), or as its key where profiles lack it.
     """
     member, _ = boruvka_forest(person_graph(profiles, examples))
-    stated = examples.select(id_key(F.col("left_canonical_id")).alias("person"), F.lower(F.trim("split")).alias("s")).filter("person is not null and s <> ''")
-    stated = stated.groupBy("person").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b")
-    persons = member.filter("node like 'c:%'").select(F.expr("substring(node, 3)").alias("person"), "root")
+    rows = row_nodes(profiles, examples).filter("tbl = 'pair_examples' and person is not null and delivered <> ''").groupBy("node", "person", "delivered").count()
+    rows = durable(rows.join(member, "node", "left").select(F.coalesce("root", "node").alias("root"), "person", "delivered").distinct(), "delivered")
+    broken = rows.groupBy("root").agg(F.min("delivered").alias("a"), F.max("delivered").alias("b")).filter("a <> b").select("root")
+    below = rows.join(broken, "root", "left_semi").groupBy("root", "person").agg(F.min("delivered").alias("a"), F.max("delivered").alias("b")).filter("a <> b")
     spelt = profiles.select(id_key(F.col("canonical_person_id")).alias("person"), "canonical_person_id").filter("person is not null").groupBy("person").agg(F.min("canonical_person_id").alias("written"))
-    return stated.join(persons, "person").join(spelt, "person", "left").select(F.coalesce("written", "person").alias("canonical_person_id"))
+    return below.join(spelt, "person", "left").select(F.coalesce("written", "person").alias("canonical_person_id"))

@@ -15,6 +15,8 @@ import numpy as np
 
 #: Nats of conditional mutual information above which two voters are as good as one.
 SMOOTH, TURNS, COPY = 1.0, 200, 0.25
+#: Two classes can be told apart without labels only by so many views of an item, so voters aren't joined below that.
+LEAST_VIEWS = 3
 
 
 class LabelModel:
@@ -25,6 +27,10 @@ class LabelModel:
         self.levels, self.lean, self.share, self.joint, self.least = levels, lean, share, joint, least_information
         self.groups: list[tuple[int, ...]] = [(i,) for i in range(len(levels))]
 
+    def _views(self, votes: np.ndarray) -> int:
+        """Groups of voters that say more than one thing."""
+        return sum(len(np.unique(code)) > 1 for code, _ in self._codes(votes))
+
     def _join(self, a: int, b: int) -> None:
         self.groups = [g for g in self.groups if g not in ((a,), (b,))] + [(a, b)]
 
@@ -92,14 +98,14 @@ class LabelModel:
         for _ in range(self.joint):
             single = [g[0] for g in self.groups if len(g) == 1]
             found = sorted(((self._dependence(votes, n, p, a, b), a, b) for i, a in enumerate(single) for b in single[i + 1 :]), reverse=True)
-            if not found or found[0][0] < COPY:
+            if not found or found[0][0] < COPY or self._views(votes) <= LEAST_VIEWS:
                 break
             self._join(*found[0][1:])
         p = self._fit(votes, n, p)
         for _ in range(self.joint):
             single = [g[0] for g in self.groups if len(g) == 1]
             found = sorted(((self._dependence(votes, n, p, a, b), a, b) for i, a in enumerate(single) for b in single[i + 1 :]), reverse=True)
-            if not found or found[0][0] < self.least:
+            if not found or found[0][0] < self.least or self._views(votes) <= LEAST_VIEWS:
                 break
             self._join(*found[0][1:])
             p = self._fit(votes, n, p)

@@ -1,12 +1,15 @@
 """Main body of web pages (problem 4).
 
-Method: composite text density. Every DOM node gets its link-adjusted characters per tag; a node's
-density sum is the sum over its children; the path from the body to the node with the largest sum
-gives the thresholds that decide how far up the main subtree reaches. That first selection labels
-the text runs of all pages. Counts of hashed words and word pairs inside and outside of the selected
-subtrees, taken over the whole corpus, then weigh each run, and the subtree of maximal weighted sum
-replaces the first one. Counting and selecting alternate ``PASSES`` times; runs within the subtree
-whose own weight is that of boilerplate are dropped.
+Method: composite text density. A text run stands between two tags, so its density is what it has of
+characters, those of links counted only as far as they are vouched for (on a log scale, so that a long run isn't worth a
+hundred short ones). A node's density sum is the sum over its children; the subtree with the maximal sum is the main one.
+The least mean density on the path from the body to it is the threshold: runs inside of the subtree whose density lies
+further below zero than the body path lies above it are dropped.
+
+What vouches for characters is the whole corpus: menus and notices return page after page, so counts of hashed words and
+word pairs inside and outside of the main subtrees give every run a share between 0 and 1, and its density the sign of
+``2 share - 1``. Counting and selecting alternate ``PASSES`` times; the first subtrees come from plain densities
+(:func:`densest`), without any counts.
 
 Each page is parsed once and in one task; between passes only a table of ``SPAN`` counts, whose
 size doesn't depend on the corpus, goes to the driver and back.
@@ -47,13 +50,13 @@ BUCKETS = 1 << 18
 #: The first two and the first three words of a run have buckets of their own behind the others.
 SPAN = 3 * BUCKETS
 PASSES = 3
-#: A run inside the subtree is dropped below this weight.
-DROP_WEIGHT, CLIP = -1.0, 3.0
-#: So is one that opens with two words seen outside of main subtrees on this share of the pages, and this often of
+#: Bound of a word's log-odds, and how steeply a run's mean log-odds become its share.
+CLIP, STEEP = 3.0, 3.0
+#: A run is taken for boilerplate that opens with two words seen outside of main subtrees on this share of the pages, and this often of
 #: all times, unless its first three words are common inside of them and rarer than that outside.
 OPENING_PAGES, OPENING_OUTSIDE = 0.002, 0.15
 
-PARSED = "page_id string, fetched_at timestamp, parent array<int>, node array<int>, inside array<boolean>, lens array<int>, words array<int>"
+PARSED = "page_id string, fetched_at timestamp, parent array<int>, node array<int>, inside array<boolean>, chars array<int>, linked array<int>, lens array<int>, words array<int>"
 
 
 def parse_page(text: str) -> tuple[list[int], list[str], list[int], list[int], list[str], list[int]]:
@@ -124,7 +127,8 @@ def parse_page(text: str) -> tuple[list[int], list[str], list[int], list[int], l
 
 
 def densest(parent: list[int], tags: list[str], links: list[int], at: list[int], runs: list[str], linked: list[int]) -> int:
-    """The node selected by composite text density alone."""
+    """The node selected by plain composite text density, without counts: from the body towards the node with the largest density
+    sum, the first node that hasn't nearly all characters of the page."""
     n = len(parent)
     c, lc, t, lt = [0] * n, [0] * n, [0] * n, list(links)
     for k, r, x in zip(at, runs, linked):
@@ -186,8 +190,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = densest(parent, tags, links, at, runs, linked)
             end = _ends(parent)[top]
             ids = [_word_ids(r, memo) for r in runs]
-            rows.append((page, when, parent, at, [top <= k < end for k in at], [len(i) for i in ids], [w for i in ids for w in i]))
-        yield pd.DataFrame(rows, columns=["page_id", "fetched_at", "parent", "node", "inside", "lens", "words"])
+            rows.append((page, when, parent, at, [top <= k < end for k in at], [len(r) for r in runs], linked, [len(i) for i in ids], [w for i in ids for w in i]))
+        yield pd.DataFrame(rows, columns=["page_id", "fetched_at", "parent", "node", "inside", "chars", "linked", "lens", "words"])
 
 
 def _features(lens: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,21 +246,24 @@ def _select(b: pd.DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> tup
         opening[i, r[opens == i]] = stock[f[opens == i]]
     opening = opening[1] & ~opening[2]
     weight = np.where(opening, np.minimum(weight, -1.5), weight)
+    share = 1 / (1 + np.exp(-STEEP * weight))
+    density = (2 * share - 1) * np.log1p(_flat(b["chars"], float) - _flat(b["linked"], float) * (1 - share))
     kept, within = np.zeros(n, bool), np.zeros(n, bool)
     i = 0
     for parent, node in zip(b["parent"], b["node"]):
         k = len(node)
         if k:
-            w = weight[i : i + k]
-            total = np.bincount(np.asarray(node), w, len(parent)).tolist()
-            par = list(parent)
+            at, d, par = np.asarray(node), density[i : i + k], list(parent)
+            sums, ends = np.bincount(at, d, len(par)).tolist(), _ends(par)
             for x in range(len(par) - 1, 0, -1):
-                total[par[x]] += total[x]
-            top = max(range(len(par)), key=lambda x: (total[x], -x))
-            end = _ends(par)[top]
-            at = np.asarray(node)
-            within[i : i + k] = (at >= top) & (at < end)
-            kept[i : i + k] = within[i : i + k] & (w > DROP_WEIGHT)
+                sums[par[x]] += sums[x]
+            top = max(range(len(par)), key=lambda x: (sums[x], -x))
+            threshold, x = math.inf, top
+            while x >= 0:
+                threshold = min(threshold, sums[x] / (ends[x] - x))
+                x = par[x]
+            within[i : i + k] = (at >= top) & (at < ends[top])
+            kept[i : i + k] = within[i : i + k] & (d >= -abs(threshold))
             i += k
     return kept, within, f, r
 
@@ -299,17 +306,17 @@ def main_runs(pages: DataFrame, passes: int = PASSES) -> DataFrame:
     rows = pages.select("page_id", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "html").filter("page_id is not null and html <> ''")
     parsed = rows.mapInPandas(_parse, PARSED)
     # Repeats are dropped after parsing, when a page is only its word ids.
-    fields = ["parent", "node", "inside", "lens", "words"]
+    fields = ["parent", "node", "inside", "chars", "linked", "lens", "words"]
     last = parsed.groupBy("page_id").agg(F.max(F.struct("fetched_at", *fields)).alias("x"))
     parsed = durable(last.select("page_id", *[f"x.{f}" for f in fields]), "pages")
     model, n = None, parsed.count()
     for _ in range(passes):
         counts = parsed.mapInPandas(_counter(model), "bucket int, n_in double, n_out double, n_beyond double").groupBy("bucket").agg(F.sum("n_in"), F.sum("n_out"), F.sum("n_beyond"))
         inside, outside, beyond = np.full(SPAN, 0.5), np.full(SPAN, 0.5), np.zeros(SPAN)
-        for b, i, o, y in counts.collect():  # at most SPAN rows
-            inside[b] += i
-            outside[b] += o
-            beyond[b] += y
+        table = counts.toArrow()  # at most SPAN rows
+        at = table.column("bucket").to_numpy()
+        for into, c in ((inside, 1), (outside, 2), (beyond, 3)):
+            into[at] += table.column(c).to_numpy()
         odds = np.clip(np.log(inside / inside.sum()) - np.log(outside / outside.sum()), -CLIP, CLIP)
         stock = (beyond >= max(5.0, OPENING_PAGES * n)) & (beyond >= OPENING_OUTSIDE * (inside + outside))
         stock[2 * BUCKETS :] = ((inside >= max(5.0, OPENING_PAGES / 4 * n)) & (beyond < OPENING_OUTSIDE * (inside + outside)))[2 * BUCKETS :]
