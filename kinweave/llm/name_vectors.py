@@ -8,8 +8,9 @@ gone before, so they don't count.
 
 The join finds all pairs of vectors with a cosine of at least the threshold. Grams are ordered from rare to common; only the
 prefix of a vector whose rest is still as long as the threshold is joined, and two vectors that meet in a gram
-stay a candidate only if what follows in both can still reach the threshold: the first gram they have in common
-always passes this. Nothing is cut to the best n: a cap would lose partners of names that many records have.
+stay a candidate only if what follows in both can still reach the threshold (the first gram they have in common
+always passes this) and if their marks, a bit for every gram, agree in enough places: grams in common number no more than bits in
+common and collisions, and none adds more than the product of the largest weights. Nothing is cut to the best n: a cap would lose partners of names that many records have.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from kinweave.durable import durable, release
 
 COSINE, SURNAME, GRAM = 0.45, 0.7, 3
+#: Words of 64 bits in a mark.
+MARKS = 4
 #: Records of one key that meet in one task, on either side; the pairs of a key with more are spread over several.
 KEY_BLOCK = 512
 
@@ -57,8 +60,8 @@ def name_entries(feats: DataFrame) -> DataFrame:
 
 
 def name_vectors(entries: DataFrame, surname: float = SURNAME) -> DataFrame:
-    """(``entry``, ``grams``, ``w``, ``rest``) of distinct entries: grams from rare to common, their weights in the unit vector,
-    and the length of the vector from each gram on. Ties in rarity are ordered by the gram."""
+    """(``entry``, ``grams``, ``w``, ``rest``, ``top``, marks) of distinct entries: grams from rare to common, their weights in the unit
+    vector, the length of the vector from each gram on, and the largest weight. Ties in rarity are ordered by the gram."""
     e = entries.groupBy("entry").agg(*[F.first(c).alias(c) for c in ("i", "alts", "s")])
     given = F.array_distinct(F.flatten(F.transform("alts", lambda a: _grams(a, "g", F.col("i")))))
     kinds = F.array(F.struct(F.lit("s").alias("kind"), F.array_distinct(_grams(F.col("s"), "s", F.col("i"))).alias("grams")), F.struct(F.lit("g").alias("kind"), given.alias("grams")))
@@ -75,7 +78,10 @@ def name_vectors(entries: DataFrame, surname: float = SURNAME) -> DataFrame:
     w = F.transform("x", lambda y: y["raw"] * F.when(y["kind"] == "s", ws).otherwise((1 - surname) ** 0.5 / F.nullif(F.col("zg"), F.lit(0.0))))
     v = v.select("entry", F.transform("x", lambda y: y["gram"]).alias("grams"), w.alias("w"))
     rest = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.sqrt(F.aggregate(F.slice("w", k, F.size("w")), F.lit(0.0), lambda acc, y: acc + y * y)))
-    out = durable(v.withColumn("rest", rest), "vectors")
+    bit = lambda i: F.aggregate(
+        F.filter("grams", lambda g: F.pmod(F.shiftright(g, 6), F.lit(MARKS)) == i), F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(g, F.lit(64)).cast("int")))
+    )
+    out = durable(v.withColumns({"rest": rest, "top": F.array_max("w"), **{f"m{i}": bit(i) for i in range(MARKS)}}), "vectors")
     release(g)
     return out
 
@@ -85,10 +91,15 @@ def cosine_join(vectors: DataFrame, left: DataFrame, right: DataFrame, cosine: f
 
     ``same``: both sides are one set, ``a < b``; else an entry of both sides also meets itself.
     """
-    front = vectors.select("entry", F.explode(F.arrays_zip("grams", "w", "rest")).alias("z")).filter(F.col("z.rest") >= cosine - 1e-9)
-    front = front.select("entry", F.col("z.grams").alias("key"), F.col("z.w").alias("w"), (F.col("z.rest") * F.col("z.rest") - F.col("z.w") * F.col("z.w")).alias("q"))
-    side = lambda who, name: (front if same else front.join(who, "entry", "left_semi")).select("key", F.col("entry").alias(name), F.col("w").alias("w" + name), F.col("q").alias("q" + name))
+    marks = [f"m{i}" for i in range(MARKS)]
+    spare = F.size("grams") - sum(F.bit_count(m) for m in marks)  # grams that share their bit with another one
+    front = vectors.select("entry", "top", spare.alias("spare"), *marks, F.explode(F.arrays_zip("grams", "w", "rest")).alias("z")).filter(F.col("z.rest") >= cosine - 1e-9)
+    front = front.select("entry", "top", "spare", *marks, F.col("z.grams").alias("key"), F.col("z.w").alias("w"), (F.col("z.rest") * F.col("z.rest") - F.col("z.w") * F.col("z.w")).alias("q"))
+    carried = ["w", "q", "top", "spare", *marks]
+    side = lambda who, name: (front if same else front.join(who, "entry", "left_semi")).select("key", F.col("entry").alias(name), *[F.col(c).alias(c + name) for c in carried])
     reach = F.col("wl") * F.col("wr") + F.sqrt(F.greatest(F.lit(0.0), F.col("ql")) * F.greatest(F.lit(0.0), F.col("qr"))) >= cosine - 1e-9
+    common = sum(F.bit_count(F.col(m + "l").bitwiseAND(F.col(m + "r"))) for m in marks) + F.least("sparel", "sparer")
+    reach = reach & (common * F.col("topl") * F.col("topr") >= cosine - 1e-9)
     met = blocked_join(side(left, "l"), side(right, "r"), reach & (F.expr("l < r") if same else F.lit(True))).select("l", "r").distinct()
     packed = vectors.select("entry", F.map_from_arrays("grams", "w").alias("m"))
     both = met.join(packed.select(F.col("entry").alias("l"), F.col("m").alias("ml")), "l").join(packed.select(F.col("entry").alias("r"), F.col("m").alias("mr")), "r")
