@@ -25,8 +25,13 @@ from kinweave.llm.tokens import VOCABULARY, measured
 
 GROUP = 6000
 #: Limits besides the capacity: segments, as capacity over this many tokens, and the loss-bearing share of the capacity.
-#: An item that by itself is above the latter isn't split for it; it counts as filling that limit.
-TOKENS_PER_SEGMENT, LOSS_SHARE = 16, 1.0
+#: An item that by itself is above the latter isn't split for it, as only the capacity splits; it counts as filling that limit.
+TOKENS_PER_SEGMENT, LOSS_SHARE = 64, 0.9
+
+
+def limits(capacity: int) -> tuple[int, int, int]:
+    """Most tokens, segments and loss-bearing tokens of a container."""
+    return capacity, max(1, capacity // TOKENS_PER_SEGMENT), max(1, int(LOSS_SHARE * capacity))
 
 
 def pack(demand: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -65,7 +70,7 @@ def pack(demand: np.ndarray, limit: np.ndarray) -> np.ndarray:
 def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "piece"], ignore_index=True)
     capacity = int(pdf["capacity"].iloc[0])
-    limit = np.array([capacity, max(1, capacity // TOKENS_PER_SEGMENT), max(1, int(LOSS_SHARE * capacity))], float)
+    limit = np.array(limits(capacity), float)
     number = pack(np.minimum(np.stack([pdf["n_tokens"], np.ones(len(pdf)), pdf["loss_tokens"]], 1).astype(float), limit), limit)
     key = pdf["container_kind"] + "-" + pdf["grp"].map("{:06d}".format) + "-" + pd.Series(number).map("{:06d}".format)
     return pdf.assign(container_id=key)[["container_kind", "container_id", "doc_id", "piece", "start_token", "n_tokens", "loss_tokens", "capacity"]]
@@ -101,3 +106,16 @@ def fill_report(placed: DataFrame) -> DataFrame:
     """For each kind: ``containers``, ``items``, ``tokens``, ``fill`` (share of the capacity that is used)."""
     per = placed.groupBy("container_kind", "capacity", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"))
     return per.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("k").alias("items"), F.sum("t").alias("tokens"), (F.sum("t") / F.sum(F.col("capacity").cast("long"))).alias("fill"))
+
+
+def limit_report(placed: DataFrame, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """For each kind: ``documents`` placed, and what must be 0: ``broken`` (documents that aren't whole, or are split though they fit),
+    ``over_tokens``, ``over_segments`` and ``over_loss`` (containers above a limit; for the last, unless one item alone is above it)."""
+    sizes = measured(docs, ["doc_id"], vocabulary).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest"))
+    doc = placed.groupBy("container_kind", "capacity", "doc_id").agg(F.sum("n_tokens").alias("t"), F.max("piece").alias("pieces")).join(sizes, "doc_id")
+    broken = (F.col("t") != F.col("n")) | ((F.col("pieces") > 0) & (F.col("longest") <= F.col("capacity")))
+    whole = doc.groupBy("container_kind").agg(F.count("*").alias("documents"), F.sum(broken.cast("long")).alias("broken"))
+    box = placed.groupBy("container_kind", "capacity", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.sum("loss_tokens").alias("loss"), F.max("loss_tokens").alias("most"))
+    segments, loss = F.greatest(F.lit(1), F.floor(F.col("capacity") / TOKENS_PER_SEGMENT)), F.greatest(F.lit(1), F.floor(F.col("capacity") * LOSS_SHARE))
+    over = {"over_tokens": F.col("t") > F.col("capacity"), "over_segments": F.col("k") > segments, "over_loss": (F.col("loss") > loss) & (F.col("most") <= loss)}
+    return whole.join(box.groupBy("container_kind").agg(*[F.sum(c.cast("long")).alias(n) for n, c in over.items()]), "container_kind")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.canonical_map import map_profiles
-from kinweave.llm.container_packing import fill_report, packed
+from kinweave.llm.container_packing import fill_report, limit_report, packed
 from kinweave.llm.cut_texts import cut_documents, cut_rates
-from kinweave.llm.forest_split import grouped_splits, split_breaches
+from kinweave.llm.forest_split import SPLITS, grouped_splits, split_breaches
 from kinweave.llm.grid_components import decided_links, grid_components
 from kinweave.llm.name_variants import linked_variants, variant_pairs
 from kinweave.llm.page_body import main_runs
@@ -44,6 +44,20 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tbl", "split", "n_rows", "n_groups")
 
 
+def p2_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Each person with the number of its rows in both tables and of the splits these got: 1."""
+    rows = p2_splits(spark, d).filter("person is not null")
+    return rows.groupBy("person").agg(F.count("*").alias("n_rows"), F.countDistinct("split").alias("n_splits"))
+
+
+def p2_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the rows of each split are within two points of its share."""
+    rows = p2_splits(spark, d).groupBy("split").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("total"))
+    share = F.create_map(*[F.lit(x) for pair in SPLITS for x in pair])
+    return rows.crossJoin(F.broadcast(total)).select("split", (F.abs(F.col("n") / F.col("total") - share[F.col("split")]) <= 0.02).alias("within"))  # a row beside three
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = similar_pairs(profile_items(_t(spark, d, "profiles")))
     return pairs.select(F.col("left").alias("left_profile_id"), F.col("right").alias("right_profile_id"))
@@ -87,6 +101,21 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d))
 
 
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    return limit_report(p8_containers(spark, d), _t(spark, d, "documents"))
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each source whether its share of the tokens is within half a point of the target, and documents above the allowed repeats: 0."""
+    targets = _t(spark, d, "mix_targets").select("source", "target_share", "max_repeats")
+    mix = p9_mix(spark, d)
+    total = mix.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("total"))
+    per = mix.join(F.broadcast(targets), "source").groupBy("source").agg(
+        F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.first("target_share").alias("target"), F.sum((F.col("repeats") > F.col("max_repeats")).cast("long")).alias("over_repeats")
+    )
+    return per.crossJoin(F.broadcast(total)).select("source", (F.abs(F.col("t") / F.col("total") - F.col("target")) <= 0.005).alias("within"), "over_repeats")  # a row beside each source
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     mix, _ = mixed(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
     return mix.filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
@@ -117,6 +146,15 @@ WITH e AS (
 ), b AS (SELECT person FROM e WHERE person <> '' AND person <> 'unknown' GROUP BY person HAVING count(DISTINCT s) > 1),
 w AS (SELECT regexp_replace(lower(trim(canonical_person_id)), '[\\s-]+', '_', 'g') AS person, min(canonical_person_id) AS written FROM profiles WHERE canonical_person_id IS NOT NULL GROUP BY 1)
 SELECT coalesce(w.written, b.person) AS canonical_person_id FROM b LEFT JOIN w USING (person)""",
+    "p2_persons": """
+WITH a AS (SELECT canonical_person_id AS c FROM profiles UNION ALL SELECT left_canonical_id FROM pair_examples),
+k AS (SELECT regexp_replace(lower(trim(c)), '[\\s-]+', '_', 'g') AS person FROM a)
+SELECT person, count(*) AS n_rows, 1::BIGINT AS n_splits FROM k WHERE person <> '' AND person <> 'unknown' GROUP BY person""",
+    "p2_balance": "SELECT unnest(['train', 'validation', 'test']) AS split, true AS within",
+    "p8_limits": """
+SELECT DISTINCT container_kind, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS broken, 0::BIGINT AS over_tokens,
+  0::BIGINT AS over_segments, 0::BIGINT AS over_loss FROM containers WHERE capacity_tokens > 0""",
+    "p9_kept": "SELECT source, true AS within, 0::BIGINT AS over_repeats FROM mix_targets WHERE target_share > 0",
     "p3_found": """
 WITH r AS (
   SELECT profile_id AS id, 't:' || trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS item FROM (SELECT profile_id, unnest(topics) AS x FROM profiles)
