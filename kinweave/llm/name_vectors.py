@@ -3,7 +3,7 @@
 A name is a given name, its other forms, and a surname. Under every initial that its given name may
 have it is one vector: trigrams of the surname, and trigrams of those forms of the given name that have this
 initial, both weighted by inverse document frequency, of unit length, and brought together in the shares
-``SURNAME`` and the rest. A name with a bare initial is its surname alone. Order of the parts and titles are
+``SURNAME`` and the rest. Grams are hashed to ``BUCKETS`` dimensions, so the table of their frequencies has a fixed size. A name with a bare initial is its surname alone. Order of the parts and titles are
 gone before, so they don't count.
 
 The join finds all pairs of vectors with a cosine of at least the threshold. Grams are ordered from rare to common; only the
@@ -15,14 +15,20 @@ common and collisions, and none adds more than the product of the largest weight
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.durable import durable, release
 
 COSINE, SURNAME, GRAM = 0.45, 0.7, 3
+BUCKETS = 1 << 20
 #: Words of 64 bits in a mark.
-MARKS = 4
+MARKS = 2
 #: Records of one key that meet in one task, on either side; the pairs of a key with more are spread over several.
 KEY_BLOCK = 512
 
@@ -45,12 +51,6 @@ def blocked_join(left: DataFrame, right: DataFrame, on: Column | None = None) ->
     return (met if on is None else met.filter(on)).drop("ba", "bb")
 
 
-def _grams(word: Column, kind: str, initial: Column) -> Column:
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (GRAM - 1))), lambda i: F.substring(padded, i, F.lit(GRAM)))
-    return F.transform(cut, lambda g: F.xxhash64(initial, F.lit(kind), g))
-
-
 def name_entries(feats: DataFrame) -> DataFrame:
     """(``entry``, ``i``, ``alts``, ``s``, ``id``, ``side``): the names of each record under each initial."""
     n = feats.select("id", "side", F.explode("names").alias("n")).select("id", "side", F.col("n.g").alias("g"), F.col("n.alts").alias("alts"), F.col("n.s").alias("s"))
@@ -59,30 +59,73 @@ def name_entries(feats: DataFrame) -> DataFrame:
     return n.select(F.xxhash64("i", "g", "s").alias("entry"), "i", alts.alias("alts"), "s", "id", "side").distinct()
 
 
+def _grams(initial: str, kind: str, words, memo: dict[str, int]) -> list[int]:
+    """Distinct buckets of the trigrams of the words."""
+    out = {}
+    for word in words:
+        padded = f"^{word}$"
+        for k in range(max(1, len(padded) - GRAM + 1)):
+            g = initial + kind + padded[k : k + GRAM]
+            at = memo.get(g)
+            if at is None:
+                at = zlib.crc32(g.encode()) % BUCKETS
+                if len(memo) < 500_000:
+                    memo[g] = at
+            out[at] = None
+    return list(out)
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo: dict[str, int] = {}
+    df = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        for i, alts, s in zip(b["i"], b["alts"], b["s"]):
+            df[list({*_grams(i, "s", [s], memo), *_grams(i, "g", alts, memo)})] += 1
+    some = np.flatnonzero(df)
+    yield pd.DataFrame({"gram": some.astype(np.int32), "df": df[some]})
+
+
+def _vectorizer(df: np.ndarray, n: int, surname: float):
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
+        idf = np.log((n + 1) / np.maximum(1, df)) + 0.1
+        for b in batches:
+            rows = []
+            for e, i, alts, s in zip(b["entry"], b["i"], b["alts"], b["s"]):
+                sur, given = _grams(i, "s", [s], memo), _grams(i, "g", alts, memo)
+                grams = np.array(sur + given)
+                w = idf[grams]
+                k = len(sur)
+                w[:k] *= (surname**0.5 if given else 1.0) / np.sqrt(w[:k] @ w[:k])
+                if given:
+                    w[k:] *= (1 - surname) ** 0.5 / np.sqrt(w[k:] @ w[k:])
+                order = np.lexsort((grams, df[grams]))
+                grams, w = grams[order], w[order]
+                if len(np.unique(grams)) < len(grams):  # a surname gram and a given one in one bucket
+                    grams, first, at = np.unique(grams, return_index=True, return_inverse=True)
+                    w = np.bincount(at, w)
+                    order = np.lexsort((grams, df[grams]))
+                    grams, w = grams[order], w[order] / np.sqrt(w @ w)
+                rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
+                marks = [0] * MARKS
+                for g in grams.tolist():
+                    marks[(g >> 6) % MARKS] |= 1 << (g & 63)
+                rows.append((e, grams.astype(np.int32), w, rest, w.max(), *[m - (1 << 64) if m >> 63 else m for m in marks]))
+            yield pd.DataFrame(rows, columns=["entry", "grams", "w", "rest", "top", *[f"m{k}" for k in range(MARKS)]])
+
+    return vectors
+
+
 def name_vectors(entries: DataFrame, surname: float = SURNAME) -> DataFrame:
     """(``entry``, ``grams``, ``w``, ``rest``, ``top``, marks) of distinct entries: grams from rare to common, their weights in the unit
     vector, the length of the vector from each gram on, and the largest weight. Ties in rarity are ordered by the gram."""
-    e = entries.groupBy("entry").agg(*[F.first(c).alias(c) for c in ("i", "alts", "s")])
-    given = F.array_distinct(F.flatten(F.transform("alts", lambda a: _grams(a, "g", F.col("i")))))
-    kinds = F.array(F.struct(F.lit("s").alias("kind"), F.array_distinct(_grams(F.col("s"), "s", F.col("i"))).alias("grams")), F.struct(F.lit("g").alias("kind"), given.alias("grams")))
-    g = e.select("entry", F.explode(kinds).alias("k")).select("entry", "k.kind", F.explode("k.grams").alias("gram"))
-    g = durable(g, "grams")
-    df = g.groupBy("gram").agg(F.count("*").alias("df"))
-    n = float(max(1, e.count()))
-    item = F.struct("df", "gram", "kind", (F.log(F.lit(n + 1) / F.col("df")) + 0.1).alias("raw"))
-    v = g.join(df, "gram").groupBy("entry").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    size = lambda k: F.sqrt(F.aggregate(F.filter("x", lambda y: y["kind"] == k), F.lit(0.0), lambda acc, y: acc + y["raw"] * y["raw"]))
-    v = v.withColumns({"zs": size("s"), "zg": size("g")})
-    # A name without trigrams of a given name is its surname alone.
-    ws = F.when(F.col("zg") > 0, surname**0.5).otherwise(1.0) / F.col("zs")
-    w = F.transform("x", lambda y: y["raw"] * F.when(y["kind"] == "s", ws).otherwise((1 - surname) ** 0.5 / F.nullif(F.col("zg"), F.lit(0.0))))
-    v = v.select("entry", F.transform("x", lambda y: y["gram"]).alias("grams"), w.alias("w"))
-    rest = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.sqrt(F.aggregate(F.slice("w", k, F.size("w")), F.lit(0.0), lambda acc, y: acc + y * y)))
-    bit = lambda i: F.aggregate(
-        F.filter("grams", lambda g: F.pmod(F.shiftright(g, 6), F.lit(MARKS)) == i), F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(g, F.lit(64)).cast("int")))
-    )
-    out = durable(v.withColumns({"rest": rest, "top": F.array_max("w"), **{f"m{i}": bit(i) for i in range(MARKS)}}), "vectors")
-    release(g)
+    e = durable(entries.groupBy("entry").agg(*[F.first(c).alias(c) for c in ("i", "alts", "s")]), "distinct_entries")
+    table = e.select("i", "alts", "s").mapInPandas(_frequencies, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()  # at most BUCKETS rows
+    df = np.zeros(BUCKETS, np.int64)
+    df[table.column("gram").to_numpy()] = table.column("df").to_numpy()
+    schema = "entry long, grams array<int>, w array<double>, rest array<double>, top double, " + ", ".join(f"m{k} long" for k in range(MARKS))
+    out = durable(e.mapInPandas(_vectorizer(df, max(1, e.count()), surname), schema), "vectors")
+    release(e)
     return out
 
 
@@ -95,11 +138,12 @@ def cosine_join(vectors: DataFrame, left: DataFrame, right: DataFrame, cosine: f
     spare = F.size("grams") - sum(F.bit_count(m) for m in marks)  # grams that share their bit with another one
     front = vectors.select("entry", "top", spare.alias("spare"), *marks, F.explode(F.arrays_zip("grams", "w", "rest")).alias("z")).filter(F.col("z.rest") >= cosine - 1e-9)
     front = front.select("entry", "top", "spare", *marks, F.col("z.grams").alias("key"), F.col("z.w").alias("w"), (F.col("z.rest") * F.col("z.rest") - F.col("z.w") * F.col("z.w")).alias("q"))
+    front = front.withColumns({c: F.col(c).cast("float") for c in ("w", "q", "top")})  # bounds only, so single precision will do
     carried = ["w", "q", "top", "spare", *marks]
     side = lambda who, name: (front if same else front.join(who, "entry", "left_semi")).select("key", F.col("entry").alias(name), *[F.col(c).alias(c + name) for c in carried])
-    reach = F.col("wl") * F.col("wr") + F.sqrt(F.greatest(F.lit(0.0), F.col("ql")) * F.greatest(F.lit(0.0), F.col("qr"))) >= cosine - 1e-9
+    reach = F.col("wl") * F.col("wr") + F.sqrt(F.greatest(F.lit(0.0), F.col("ql")) * F.greatest(F.lit(0.0), F.col("qr"))) >= cosine - 1e-5
     common = sum(F.bit_count(F.col(m + "l").bitwiseAND(F.col(m + "r"))) for m in marks) + F.least("sparel", "sparer")
-    reach = reach & (common * F.col("topl") * F.col("topr") >= cosine - 1e-9)
+    reach = reach & (common * F.col("topl") * F.col("topr") >= cosine - 1e-5)
     met = blocked_join(side(left, "l"), side(right, "r"), reach & (F.expr("l < r") if same else F.lit(True))).select("l", "r").distinct()
     packed = vectors.select("entry", F.map_from_arrays("grams", "w").alias("m"))
     both = met.join(packed.select(F.col("entry").alias("l"), F.col("m").alias("ml")), "l").join(packed.select(F.col("entry").alias("r"), F.col("m").alias("mr")), "r")
@@ -123,4 +167,5 @@ def name_pairs(feats: DataFrame, same: bool, cosine: float = COSINE) -> DataFram
     pairs = blocked_join(lk, rk, F.expr("l <> r") if same else None)
     if same:
         pairs = pairs.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"), "cosine")
+    release(vectors)
     return pairs.groupBy("l", "r").agg(F.max("cosine").alias("cosine"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.durable import durable
+from kinweave.durable import durable, release
 from kinweave.functions.text import link_key
 
 #: Titles, degrees and remarks that aren't part of a name, and particles of surnames.
@@ -163,13 +163,12 @@ def parsed_names(rows: DataFrame) -> DataFrame:
     beside = beside.filter("(fa is not null or fb is not null) and (n >= 2 or fa is null or fb is null)").filter(F.col("n") >= FORM_SHARE * F.greatest("fa", "fb"))
     forms = beside.select(F.col("a").alias("g"), F.col("b").alias("o")).unionByName(beside.select(F.col("b").alias("g"), F.col("a").alias("o"))).groupBy("g").agg(F.array_sort(F.collect_set("o")).alias("forms"))
     said = rows.select("id", "side", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("s")).filter("s is not null")
-    said = durable(said, "said")
     tokens = durable(said.select("s").distinct().mapInPandas(_tokenized, "s string, tokens array<string>, front int, nick string"), "tokens")
     known = tokens.select("s", F.explode("tokens").alias("t")).join(given.select("t"), "t").groupBy("s").agg(F.collect_set("t").alias("given"))
     parsed = tokens.join(known, "s", "left").mapInPandas(_parsed, "s string, g string, sur string").distinct()
     alts = F.when(F.col("g") != "", F.array_distinct(F.concat(F.array("g"), F.coalesce("forms", F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
-    parsed = parsed.join(forms, "g", "left").select("s", F.struct("g", alts.alias("alts"), F.col("sur").alias("s")).alias("n"))
-    return said.join(parsed, "s").groupBy("id", "side").agg(F.array_sort(F.collect_set("n")).alias("names"))
+    parsed = parsed.join(forms, "g", "left").select(F.xxhash64("s").alias("s"), F.struct("g", alts.alias("alts"), F.col("sur").alias("s")).alias("n"))
+    return said.withColumn("s", F.xxhash64("s")).join(parsed, "s").groupBy("id", "side").agg(F.array_sort(F.collect_set("n")).alias("names"))
 
 
 _JOINT = re.compile(r"(?<=[a-zà-ÿ]{3})(?=[A-ZÀ-Þ][a-zà-ÿ])")
@@ -223,7 +222,7 @@ def records(table: DataFrame, side: int, topics: bool = True) -> DataFrame:
 def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features, links) of :func:`records`.
 
-    features: parsed ``names`` and the words of ``orgs``, ``places`` and ``topics``; words that more than ``COMMON_SHARE``
+    features: parsed ``names``, links of one's own (``own``) and where they are (``hosts``), and the words of ``orgs``, ``places`` and ``topics``; words that more than ``COMMON_SHARE``
     of all records have stand apart in ``common_orgs`` and so on. links: (``id``, ``side``, ``link`` hash, ``host`` hash)
     of names in links that are a person's own: of those who state it, ``OWN_SHARE`` have surnames with the same first three letters.
     """
@@ -241,16 +240,22 @@ def people_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for c in WORDS:
         stock = F.array(*[F.lit(r["w"]) for r in common if r["c"] == c]).cast("array<string>")
         feats = feats.withColumns({f"common_{c}": F.array_intersect(c, stock), c: F.array_except(c, stock)})
-    feats = feats.join(parsed_names(rows), ["id", "side"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<g:string,alts:array<string>,s:string>>")))
-    feats = durable(feats, "people")
+    names = durable(parsed_names(rows), "names")
     start = F.substring(F.get("names", F.lit(0))["s"], 1, 3)
     # What a link calls the person: its last part, or the first of the host on a site of one's own. The same name on
     # two hosts is one person's as surely as the same link.
     host = F.substring_index("l", "/", 1)
     handle = F.when(F.col("l").contains("/"), F.substring_index(F.substring_index("l", "/", -1), "@", -1)).otherwise(F.substring_index("l", ".", 1))
     stated = rows.select("id", "side", F.explode("links").alias("l")).select("id", "side", F.when(F.length(handle) >= 5, handle).otherwise(F.col("l")).alias("l"), host.alias("host")).distinct()
-    stated = stated.join(feats.select("id", "side", start.alias("start")), ["id", "side"])
+    stated = stated.join(names.select("id", "side", start.alias("start")), ["id", "side"], "left")
     purity = stated.groupBy("l", "start").agg(F.count("*").alias("n")).groupBy("l").agg(F.max(F.when(F.col("start").isNotNull(), F.col("n"))).alias("top"), F.sum("n").alias("n"))
     purity = purity.filter(f"top >= {OWN_SHARE} * n and n > 1")  # what one record alone states tells nothing
     own = stated.join(purity.select("l"), "l").select("id", "side", F.xxhash64("l").alias("link"), F.xxhash64("host").alias("host"))
-    return feats, durable(own, "links")
+    links = durable(own, "links")
+    mine = links.groupBy("id", "side").agg(F.collect_set("link").alias("own"), F.collect_set("host").alias("hosts"))
+    feats = feats.join(names, ["id", "side"], "left").join(mine, ["id", "side"], "left")
+    none = F.array().cast("array<bigint>")
+    feats = feats.withColumns({"own": F.coalesce("own", none), "hosts": F.coalesce("hosts", none), "names": F.coalesce("names", F.array().cast("array<struct<g:string,alts:array<string>,s:string>>"))})
+    feats = durable(feats, "people")
+    release(rows, base, names)
+    return feats, links

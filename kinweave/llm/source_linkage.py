@@ -37,13 +37,6 @@ def sure(v) -> int | None:
     return None
 
 
-def with_links(feats: DataFrame, links: DataFrame) -> DataFrame:
-    """Features with ``own``: the links of one's own of each record, and ``hosts``: where they are."""
-    mine = links.groupBy("id", "side").agg(F.collect_set("link").alias("own"), F.collect_set("host").alias("hosts"))
-    none = F.array().cast("array<bigint>")
-    return feats.join(mine, ["id", "side"], "left").withColumns({"own": F.coalesce("own", none), "hosts": F.coalesce("hosts", none)})
-
-
 def link_pairs(links: DataFrame) -> DataFrame:
     """Pairs (``l``, ``r``) of records of side 0 and side 1 that state a link of their own in common."""
     on = lambda k, name: links.filter(F.col("side") == k).select(F.col("link").alias("key"), F.col("id").alias(name)).distinct()
@@ -127,7 +120,6 @@ def link_sources(live: DataFrame, profiles: DataFrame, threshold: float = 0.5) -
     smaller id. Empty tables give an empty result.
     """
     feats, links = people_features(records(live, 0, topics=False).unionByName(records(profiles, 1, topics=False)))
-    feats = durable(with_links(feats, links), "people")
     side = lambda df, k: df.filter(F.col("side") == k).drop("side")
     pairs = name_pairs(feats, same=False).select("l", "r").unionByName(link_pairs(links)).distinct()
     votes = pair_votes(pairs, side(feats, 0), side(feats, 1))
