@@ -1,7 +1,8 @@
 """Tables that outlive executors: lineage is cut by writing to the shared folder of the cluster.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, laptops) a
-temporary folder of this process is used. Tables are removed at exit or by :func:`release`.
+The folder is the session's ``spark.checkpoint.dir``, else the checkpoint folder of its context. Where neither is set a
+local master (tests, laptops) gets a temporary folder of this process, and a cluster an error: its executors share no
+temporary folder. Tables are removed at exit or by :func:`release`.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ _local: list[tempfile.TemporaryDirectory] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = at.get() if at.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.TemporaryDirectory(prefix="kinweave-"))
     return f"file://{_local[0].name}"

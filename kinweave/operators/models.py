@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.durable import durable, release
 from kinweave.operators.features import FULL, LEXICAL, SEMANTIC, STRUCTURED, vectorized
 from kinweave.operators.metrics import best_threshold, brier
 
@@ -41,11 +42,11 @@ def fit_logistic(examples: DataFrame, names: list[str] = FULL, label: str = "lab
         return {k: 0.0 for k in names}, (5.0 if pos else -5.0)
     weight = F.when(F.col(label) == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if balanced else F.lit(1.0)
     data = vectorized(examples, names).select("features", F.col(label).cast("double").alias("y"), weight.alias("wt"))
-    data = data.persist()
+    data = durable(data, "examples")  # every iteration reads it
     total = data.agg(F.sum("wt")).first()[0]
     lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="wt", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9)
     model = lr.fit(data)
-    data.unpersist()
+    release(data)
     return dict(zip(names, map(float, model.coefficients))), float(model.intercept)
 
 
@@ -62,11 +63,13 @@ class Calibrator:
         if self.kind == "sigmoid":
             return sigmoid(score * self.slope + self.offset)
         if self.kind == "isotonic" and self.knots:
-            out = F.lit(self.knots[-1][1])
-            for (x0, y0), (x1, y1) in reversed(list(zip(self.knots, self.knots[1:]))):
-                step = (y1 - y0) / (x1 - x0) if x1 > x0 else 0.0
-                out = F.when(score < x1, F.lit(y0) + (score - x0) * step).otherwise(out)
-            return F.when(score <= self.knots[0][0], F.lit(self.knots[0][1])).otherwise(out)
+            # Two literals and a binary search, however many knots there are.
+            x, y = (F.split(F.lit(",".join(repr(k[i]) for k in self.knots)), ",").cast("array<double>") for i in (0, 1))
+            steps = F.array(*[F.lit(1 << k) for k in range(len(self.knots).bit_length() - 1, -1, -1)])
+            at = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(x, lo + step) <= score, lo + step).otherwise(lo))
+            x0, y0, x1, y1 = F.get(x, at), F.get(y, at), F.get(x, at + 1), F.get(y, at + 1)
+            between = y0 + F.when(x1 > x0, (score - x0) * (y1 - y0) / (x1 - x0)).otherwise(0.0)
+            return F.when(score <= self.knots[0][0], F.lit(self.knots[0][1])).otherwise(F.coalesce(between, y0))
         return score
 
 
@@ -154,6 +157,8 @@ class Matcher:
     match_threshold: float
     non_match_threshold: float
     adjudicate: Callable[[DataFrame], Column] | None = None
+    #: The pairs (``left_profile_id``, ``right_profile_id``, ``split``) that calibrator and thresholds were chosen on.
+    chosen_on: DataFrame | None = None
 
     def score(self, examples: DataFrame) -> DataFrame:
         out = examples.withColumn("raw_score", linear_score(self.coefficients, self.intercept))
@@ -172,7 +177,8 @@ def train_matcher(train: DataFrame, validation: DataFrame, names: list[str] = FU
     t = best_threshold(val).first()["threshold"]
     band = abstain_band(val).first()
     lower, upper = (band["lower"], band["upper"]) if band else (min(t, 0.4), max(t, 0.6))
-    return Matcher(names, coefficients, intercept, calibrator, t, upper, lower, adjudicate)
+    seen = durable(validation.select("left_profile_id", "right_profile_id", F.col("split") if "split" in validation.columns else F.lit(None).cast("string").alias("split")), "chosen_on")
+    return Matcher(names, coefficients, intercept, calibrator, t, upper, lower, adjudicate, seen)
 
 
 def name_baseline(examples: DataFrame) -> DataFrame:

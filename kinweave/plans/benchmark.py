@@ -45,6 +45,7 @@ def run_fold(profiles: DataFrame, seed: int, **how) -> dict | None:
     parts = {s: S.of_split(profiles, assignment, s) for s in S.SPLITS}
     _, idf = vectors(parts["train"])
     idf = durable(idf, "idf")
+    fit_ids = durable(parts["train"].select(F.col("profile_id").alias("id")).distinct(), "fit_ids")
     ex = {s: split_examples(p, s, idf, **how) for s, p in parts.items()}
     if any(e.isEmpty() for e in ex.values()):
         return None
@@ -56,7 +57,7 @@ def run_fold(profiles: DataFrame, seed: int, **how) -> dict | None:
         t = matcher.threshold if name == "hybrid" else M.best_threshold(vals[name]).first()["threshold"]
         p, r, f = M.pr_at(scored, t).first()
         rows.append((seed, name, float(p), float(r), float(f), float(M.average_precision(scored).first()[0])))
-    return {"seed": seed, "assignment": assignment, "parts": parts, "examples": ex, "matcher": matcher, "decided": durable(tests["hybrid"], "decided"), "metrics": rows}
+    return {"seed": seed, "assignment": assignment, "idf": idf, "fit_ids": fit_ids, "parts": parts, "examples": ex, "matcher": matcher, "decided": durable(tests["hybrid"], "decided"), "metrics": rows}
 
 
 def permutation_sanity(train: DataFrame, test: DataFrame, seed: int, threshold: float = 0.5) -> DataFrame:
@@ -87,12 +88,16 @@ def run_benchmark(profiles: DataFrame, seeds=SEEDS, stress: dict[str, DataFrame]
     gold = profiles.select(F.col("profile_id").alias("id"), F.col("canonical_person_id").alias("gold"))
     keys = K.profile_keys(profiles)
     queries = K.profile_keys(first["parts"]["test"])
-    found = Q.resolve_live(queries, keys, m, text=True)
+    fold_weights, _ = vectors(profiles, first["idf"])
+    fold_weights = durable(fold_weights, "weights")
+    found = Q.resolve_live(queries, keys, m, text=True, query_weights=fold_weights, weights=fold_weights)
     same = B.gold_pairs(profiles)
     both = same.selectExpr("left_profile_id as query_id", "right_profile_id as profile_id").unionByName(same.selectExpr("right_profile_id as query_id", "left_profile_id as profile_id"))
     both = both.join(queries.select(F.col("profile_id").alias("query_id")), "query_id", "left_semi")
     tr, te = first["parts"]["train"], first["parts"]["test"]
     leak = L.person_disjoint(profiles.join(first["assignment"], "canonical_person_id")).unionByName(L.duplicate_urls(tr, te)).unionByName(L.near_duplicate_check(tr, te)).unionByName(L.synthetic_contamination(profiles))
+    ids = lambda df: df.select(F.col("profile_id").alias("id")).distinct()
+    leak = leak.unionByName(L.train_only_fit(first["fit_ids"], ids(tr), ids(te))).unionByName(L.threshold_provenance(first["examples"]["train"].unionByName(first["examples"]["test"]), m.chosen_on))
     take = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731 - small result tables
     ablations = []
     for name, feats in D.ABLATIONS.items():

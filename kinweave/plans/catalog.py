@@ -277,8 +277,11 @@ def select_span(spark, d):
     return _once(spark, d).select("profile_id", V.select_span(F.col("supporting_spans"), "headline")["snippet"].alias("snippet"))
 
 
-@query(f"""WITH {_P}, H AS (SELECT profile_id, list_transform(coalesce(outbound_links, []), lambda u: {_HOST.format(u="u")}) AS h FROM P)
-SELECT profile_id, md5({_n("array_to_string(list_concat([coalesce(display_name, '')], list_filter(coalesce(aliases, []), lambda x: x IS NOT NULL), [coalesce(headline, ''), coalesce(bio_text, '')], list_filter(list_transform(organizations, lambda o: o.name), lambda x: x IS NOT NULL), list_filter(list_transform(organizations, lambda o: o.role), lambda x: x IS NOT NULL), list_filter(list_transform(education, lambda e: e.institution), lambda x: x IS NOT NULL), list_filter(list_transform(education, lambda e: e.degree), lambda x: x IS NOT NULL), list_filter(coalesce(locations, []), lambda x: x IS NOT NULL), list_filter(coalesce(topics, []), lambda x: x IS NOT NULL), list_filter(coalesce(timestamps, []), lambda x: x IS NOT NULL), h), ' ')")}) AS text_md5 FROM P JOIN H USING (profile_id)""")
+_DOCS = f"""H AS (SELECT profile_id, list_transform(coalesce(outbound_links, []), lambda u: {_HOST.format(u="u")}) AS h FROM P),
+DOC AS (SELECT profile_id, {_n("array_to_string(list_concat([coalesce(display_name, '')], list_filter(coalesce(aliases, []), lambda x: x IS NOT NULL), [coalesce(headline, ''), coalesce(bio_text, '')], list_filter(list_transform(organizations, lambda o: o.name), lambda x: x IS NOT NULL), list_filter(list_transform(organizations, lambda o: o.role), lambda x: x IS NOT NULL), list_filter(list_transform(education, lambda e: e.institution), lambda x: x IS NOT NULL), list_filter(list_transform(education, lambda e: e.degree), lambda x: x IS NOT NULL), list_filter(coalesce(locations, []), lambda x: x IS NOT NULL), list_filter(coalesce(topics, []), lambda x: x IS NOT NULL), list_filter(coalesce(timestamps, []), lambda x: x IS NOT NULL), h), ' ')")} AS text FROM P JOIN H USING (profile_id))"""
+
+
+@query(f"WITH {_P}, {_DOCS} SELECT profile_id, md5(text) AS text_md5 FROM DOC")
 def normalized_text(spark, d):
     return _once(spark, d).select("profile_id", F.md5(K.normalized_text()).alias("text_md5"))
 
@@ -549,11 +552,14 @@ def leak_synthetic(spark, d):
     return L.synthetic_contamination(_once(spark, d))
 
 
-@query("SELECT 'train_only_feature_fitting' AS name, true AS passed, 0::BIGINT AS n_found")
+@query("""WITH T AS (SELECT DISTINCT left_profile_id AS id FROM pair_examples WHERE split = 'train' UNION SELECT right_profile_id FROM pair_examples WHERE split = 'train'),
+S AS (SELECT DISTINCT left_profile_id AS id FROM pair_examples WHERE split = 'test' UNION SELECT right_profile_id FROM pair_examples WHERE split = 'test')
+SELECT 'train_only_feature_fitting' AS name, count(*) = 0 AS passed, count(*)::BIGINT AS n_found FROM T JOIN S USING (id)""")
 def leak_fit_ids(spark, d):
-    tr, te, _ = _sides(spark, d)
-    fit = T.terms(tr.select(F.col("profile_id").alias("id"), K.normalized_text().alias("text"))).select("id").distinct()
-    return L.train_only_fit(fit, tr.select(F.col("profile_id").alias("id")), te.select(F.col("profile_id").alias("id")))
+    """A fit on the profiles of the delivered training examples: which of them are in test examples too."""
+    e = spark.read.parquet(f"{d}/pair_examples.parquet")
+    ids = lambda s: e.filter(F.col("split") == s).select(F.explode(F.array("left_profile_id", "right_profile_id")).alias("id")).distinct()
+    return L.train_only_fit(ids("train"), ids("train"), ids("test"))
 
 
 @query("SELECT 'canonical_person_disjoint' AS name, count(*) = 0 AS passed, count(*)::BIGINT AS n_found FROM (SELECT left_canonical_id FROM pair_examples WHERE left_canonical_id <> 'unknown' GROUP BY 1 HAVING count(DISTINCT split) > 1)")
@@ -561,9 +567,13 @@ def leak_person_disjoint(spark, d):
     return L.person_disjoint(spark.read.parquet(f"{d}/pair_examples.parquet"), "left_canonical_id")
 
 
-@query("SELECT 'threshold_selected_on_validation_only' AS name, true AS passed, 0::BIGINT AS n_found")
+@query("""WITH V AS (SELECT DISTINCT left_profile_id AS l, right_profile_id AS r FROM pair_examples WHERE split = 'validation'),
+O AS (SELECT DISTINCT left_profile_id AS l, right_profile_id AS r FROM pair_examples WHERE split IN ('train', 'test'))
+SELECT 'threshold_selected_on_validation_only' AS name, count(*) = 0 AS passed, count(*)::BIGINT AS n_found FROM V JOIN O USING (l, r)""")
 def leak_threshold(spark, d):
-    return L.threshold_provenance(spark.read.parquet(f"{d}/pair_examples.parquet"), "validation")
+    """A threshold chosen on the delivered validation examples: which of these pairs stand in another split too."""
+    e = spark.read.parquet(f"{d}/pair_examples.parquet")
+    return L.threshold_provenance(e, e.filter("split = 'validation'").select("left_profile_id", "right_profile_id", "split"))
 
 
 # --- metrics -----------------------------------------------------------------------------------------------------
@@ -819,18 +829,62 @@ def _fixed_matcher() -> D.Matcher:
     return D.Matcher(list(COEFFICIENTS), COEFFICIENTS, INTERCEPT, D.Calibrator(), 0.5, MATCH, NON_MATCH)
 
 
+def _live_weights(spark, d, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(weights of the queries' texts, weights of all profiles' texts), both under the fit on the profiles."""
+    text = lambda p: p.select(F.col("profile_id").alias("id"), K.normalized_text().alias("text"))
+    t = text(_once(spark, d))
+    tf = durable(T.terms(t), "terms")
+    idf = durable(T.fit_idf(tf, t.count()), "idf")
+    return T.weights(T.terms(text(queries)), idf), T.weights(tf, idf)
+
+
+def _live_queries(spark, d) -> DataFrame:
+    return _searched(SC.latest(spark.read.parquet(f"{d}/live_profiles.parquet")), 16)
+
+
 @query()
 def live_resolve(spark, d):
     """Every twentieth live record against all profiles."""
-    live = SC.latest(spark.read.parquet(f"{d}/live_profiles.parquet"))
-    return Q.resolve_live(K.profile_keys(_searched(live, 16)), _keys(spark, d), _fixed_matcher())
+    q = _live_queries(spark, d)
+    mine, all_ = _live_weights(spark, d, q)
+    return Q.resolve_live(K.profile_keys(q), _keys(spark, d), _fixed_matcher(), query_weights=mine, weights=all_)
+
+
+#: The fixed scorer without what compares strings, so that SQL can follow.
+_PLAIN = {k: v for k, v in COEFFICIENTS.items() if not k.endswith("_similarity")}
+_PLAIN_INTERCEPT = -1.0
+_BOTH = _P.replace("SELECT * FROM profiles QUALIFY", "SELECT * FROM (SELECT * FROM profiles UNION ALL BY NAME SELECT * FROM live_profiles) QUALIFY")
+_LIVE = (
+    _FEAT.replace(_P, f"{_BOTH}, {_DOCS}, LQ AS (SELECT profile_id AS l FROM P WHERE starts_with(profile_id, 'live-') AND ('0x' || substr(profile_id, 6))::BIGINT % 20 = 0)")
+    .replace(_FEAT[_FEAT.index("PR AS (") : _FEAT.index("ODOM AS (")], "PR AS (SELECT LQ.l, P.profile_id AS r FROM LQ, P WHERE NOT starts_with(P.profile_id, 'live-')), ")
+)
+_LIVE = _LIVE[: _LIVE.rindex("SELECT PR.l AS left_profile_id")].rstrip() + f""", FT AS ({_LIVE[_LIVE.rindex("SELECT PR.l AS left_profile_id") :].replace("round(coalesce(oo.n", "(coalesce(oo.n").replace("round(coalesce(ot.n", "(coalesce(ot.n").replace(", 0), 6)", ", 0))")}),
+WD AS (SELECT profile_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}') AS w FROM DOC WHERE NOT starts_with(profile_id, 'live-') OR profile_id IN (SELECT l FROM LQ)),
+TM AS (SELECT id, unnest(w) AS term FROM WD UNION ALL SELECT id, w[i] || ' ' || w[i + 1] FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM WD)),
+TF AS (SELECT id, term, count(*) AS tf FROM TM GROUP BY 1, 2), NN AS (SELECT count(*) AS n FROM P WHERE NOT starts_with(profile_id, 'live-')),
+IDF AS (SELECT term, ln((1.0 + (SELECT n FROM NN)) / (1.0 + count(*))) + 1 AS idf FROM TF WHERE NOT starts_with(id, 'live-') GROUP BY term),
+RAW AS (SELECT id, term, tf * idf AS raw FROM TF JOIN IDF USING (term)), WT AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM RAW),
+CS AS (SELECT a.id AS l, b.id AS r, sum(a.w * b.w) AS c FROM WT a JOIN WT b ON a.term = b.term AND starts_with(a.id, 'live-') AND NOT starts_with(b.id, 'live-') GROUP BY 1, 2),
+X AS (SELECT FT.*, coalesce(c, 0) AS embedding_cosine, 0.0 AS name_similarity FROM FT LEFT JOIN CS ON l = left_profile_id AND r = right_profile_id),
+S AS (SELECT *, 1 / (1 + exp(-({_PLAIN_INTERCEPT!r} + {" + ".join(f"({c!r}) * {n}" for n, c in _PLAIN.items())}))) AS score FROM X)
+SELECT left_profile_id AS query_id, right_profile_id AS profile_id, round(score, 6) AS score, CASE WHEN {_VETO} THEN 'abstain' WHEN score >= {MATCH} THEN 'match' WHEN score <= {NON_MATCH} THEN 'non_match' ELSE 'abstain' END AS decision FROM S"""
+
+
+@query(_LIVE)
+def live_scores(spark, d):
+    """As live_resolve by a scorer without string ratios, its score and decision for every pair."""
+    q = _live_queries(spark, d)
+    mine, all_ = _live_weights(spark, d, q)
+    m = D.Matcher(list(_PLAIN), _PLAIN, _PLAIN_INTERCEPT, D.Calibrator(), 0.5, MATCH, NON_MATCH)
+    return Q.resolve_live(K.profile_keys(q), _keys(spark, d), m, text=False, query_weights=mine, weights=all_).select("query_id", "profile_id", F.round("score", 6).alias("score"), "decision")
 
 
 @query()
 def whatif_stress(spark, d):
     """Every twentieth profile with weaker evidence against all profiles: the first twelve of each."""
     weak = Q.what_if(_searched(_once(spark, d)), initials=True, no_orgs=True, no_locations=True)
-    return Q.top_hits(Q.resolve_live(K.profile_keys(weak), _keys(spark, d), _fixed_matcher()))
+    mine, all_ = _live_weights(spark, d, weak)
+    return Q.top_hits(Q.resolve_live(K.profile_keys(weak), _keys(spark, d), _fixed_matcher(), query_weights=mine, weights=all_))
 
 
 @query("""WITH V AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), K AS (SELECT a.vec_id AS q, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS k FROM V a JOIN V b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),

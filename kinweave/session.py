@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -26,7 +28,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="kinweave-ship-"), "kinweave.zip")  # read by the driver alone, which serves it
+    folder = tempfile.mkdtemp(prefix="kinweave-ship-")  # read by the driver alone, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "kinweave.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, files in os.walk(root):
             for f in files:
