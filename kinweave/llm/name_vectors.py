@@ -9,8 +9,9 @@ gone before, so they don't count.
 The join finds all pairs of vectors with a cosine of at least the threshold. Grams are ordered from rare to common; only the
 prefix of a vector whose rest is still as long as the threshold is joined, and two vectors that meet in a gram
 stay a candidate only if what follows in both can still reach the threshold (the first gram they have in common
-always passes this) and if their marks, a bit for every gram, agree in enough places: grams in common number no more than bits in
-common and collisions, and none adds more than the product of the largest weights. Nothing is cut to the best n: a cap would lose partners of names that many records have.
+always passes this) and if their marks, a bit for every gram, agree in enough places. Grams in common number no more than bits in
+common and collisions. None adds more than the product of the largest weights, and by Cauchy and Schwarz the heaviest so many grams of
+one of the two must hold as much of its length as the threshold. Nothing is cut to the best n: a cap would lose partners of names that many records have.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from kinweave.durable import durable, release
 COSINE, SURNAME, GRAM = 0.45, 0.7, 3
 BUCKETS = 1 << 20
 #: Words of 64 bits in a mark.
-MARKS = 2
+MARKS = 4
 #: Records of one key that meet in one task, on either side; the pairs of a key with more are spread over several.
 KEY_BLOCK = 512
 
@@ -75,56 +76,71 @@ def _grams(initial: str, kind: str, words, memo: dict[str, int]) -> list[int]:
     return list(out)
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ints(rows: list[list[int]]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)], dtype=np.int32), np.fromiter((x for r in rows for x in r), np.int32))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str, int] = {}
+    for b in batches:
+        initial, alts, surname = (b.column(c).to_pylist() for c in ("i", "alts", "s"))
+        sur = [_grams(i, "s", [s], memo) for i, s in zip(initial, surname)]
+        given = [[g for g in _grams(i, "g", a, memo) if g not in s] if a else [] for i, a, s in zip(initial, alts, sur)]
+        yield pa.RecordBatch.from_arrays([b.column("entry"), _ints(sur), _ints(given)], names=["entry", "sur", "given"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        for i, alts, s in zip(b["i"], b["alts"], b["s"]):
-            df[list({*_grams(i, "s", [s], memo), *_grams(i, "g", alts, memo)})] += 1
+        for c in ("sur", "given"):
+            df += np.bincount(b.column(c).flatten().to_numpy(), minlength=BUCKETS)
     some = np.flatnonzero(df)
-    yield pd.DataFrame({"gram": some.astype(np.int32), "df": df[some]})
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], names=["gram", "df"])
 
 
-def _vectorizer(df: np.ndarray, n: int, surname: float):
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
+def _vectorizer(df: np.ndarray, n: int, surname: float, cosine: float):
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = np.log((n + 1) / np.maximum(1, df)) + 0.1
         for b in batches:
-            rows = []
-            for e, i, alts, s in zip(b["entry"], b["i"], b["alts"], b["s"]):
-                sur, given = _grams(i, "s", [s], memo), _grams(i, "g", alts, memo)
-                grams = np.array(sur + given)
-                w = idf[grams]
-                k = len(sur)
-                w[:k] *= (surname**0.5 if given else 1.0) / np.sqrt(w[:k] @ w[:k])
-                if given:
-                    w[k:] *= (1 - surname) ** 0.5 / np.sqrt(w[k:] @ w[k:])
-                order = np.lexsort((grams, df[grams]))
-                grams, w = grams[order], w[order]
-                if len(np.unique(grams)) < len(grams):  # a surname gram and a given one in one bucket
-                    grams, first, at = np.unique(grams, return_index=True, return_inverse=True)
-                    w = np.bincount(at, w)
-                    order = np.lexsort((grams, df[grams]))
-                    grams, w = grams[order], w[order] / np.sqrt(w @ w)
-                rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
-                marks = [0] * MARKS
-                for g in grams.tolist():
-                    marks[(g >> 6) % MARKS] |= 1 << (g & 63)
-                rows.append((e, grams.astype(np.int32), w, rest, w.max(), *[m - (1 << 64) if m >> 63 else m for m in marks]))
-            yield pd.DataFrame(rows, columns=["entry", "grams", "w", "rest", "top", *[f"m{k}" for k in range(MARKS)]])
+            k = b.num_rows
+            if not k:
+                continue
+            sizes = [np.diff(b.column(c).offsets.to_numpy()) for c in ("sur", "given")]
+            grams = [b.column(c).flatten().to_numpy() for c in ("sur", "given")]
+            rows = [np.repeat(np.arange(k), z) for z in sizes]
+            norm = [np.sqrt(np.bincount(r, idf[g] ** 2, k)) for r, g in zip(rows, grams)]
+            share = np.where(sizes[1] > 0, surname**0.5, 1.0)
+            w = np.concatenate([idf[grams[0]] * (share / norm[0])[rows[0]], idf[grams[1]] * ((1 - surname) ** 0.5 / np.maximum(norm[1], 1e-12))[rows[1]]])
+            gram, row = np.concatenate(grams), np.concatenate(rows)
+            order = np.lexsort((gram, df[gram], row))
+            gram, row, w = gram[order], row[order], w[order]
+            ends = np.cumsum(sizes[0] + sizes[1])
+            starts = ends - sizes[0] - sizes[1]
+            before = np.concatenate([[0.0], np.cumsum(w * w)])
+            rest = np.sqrt(np.maximum(0.0, before[ends][row] - before[:-1]))
+            heavy = np.lexsort((-w, row))
+            held = np.concatenate([[0.0], np.cumsum(w[heavy] ** 2)])
+            held = held[1:] - held[starts][row]
+            need = np.bincount(row, held < cosine - 1e-9, k).astype(np.int32) + 1
+            bit = np.left_shift(np.uint64(1), (gram & 63).astype(np.uint64))
+            marks = [np.bitwise_or.reduceat(np.where((gram >> 6) % MARKS == m, bit, np.uint64(0)), starts).view(np.int64) for m in range(MARKS)]
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (gram.astype(np.int32), w, rest)]
+            yield pa.RecordBatch.from_arrays([b.column("entry"), *lists, pa.array(np.maximum.reduceat(w, starts)), pa.array(need), *map(pa.array, marks)], names=["entry", "grams", "w", "rest", "top", "need", *[f"m{m}" for m in range(MARKS)]])
 
     return vectors
 
 
-def name_vectors(entries: DataFrame, surname: float = SURNAME) -> DataFrame:
-    """(``entry``, ``grams``, ``w``, ``rest``, ``top``, marks) of distinct entries: grams from rare to common, their weights in the unit
-    vector, the length of the vector from each gram on, and the largest weight. Ties in rarity are ordered by the gram."""
-    e = durable(entries.groupBy("entry").agg(*[F.first(c).alias(c) for c in ("i", "alts", "s")]), "distinct_entries")
-    table = e.select("i", "alts", "s").mapInPandas(_frequencies, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()  # at most BUCKETS rows
+def name_vectors(entries: DataFrame, surname: float = SURNAME, cosine: float = COSINE) -> DataFrame:
+    """(``entry``, ``grams``, ``w``, ``rest``, ``top``, ``need``, marks) of distinct entries: grams from rare to common, their weights in the
+    unit vector, the length of the vector from each gram on, the largest weight, and how many grams at least sum to ``cosine``. Ties in rarity are ordered by the gram."""
+    e = entries.groupBy("entry").agg(*[F.first(c).alias(c) for c in ("i", "alts", "s")])
+    e = durable(e.mapInArrow(_hashed, "entry long, sur array<int>, given array<int>"), "hashed")
+    table = e.select("sur", "given").mapInArrow(_frequencies, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()  # at most BUCKETS rows
     df = np.zeros(BUCKETS, np.int64)
     df[table.column("gram").to_numpy()] = table.column("df").to_numpy()
-    schema = "entry long, grams array<int>, w array<double>, rest array<double>, top double, " + ", ".join(f"m{k} long" for k in range(MARKS))
-    out = durable(e.mapInPandas(_vectorizer(df, max(1, e.count()), surname), schema), "vectors")
+    schema = "entry long, grams array<int>, w array<double>, rest array<double>, top double, need int, " + ", ".join(f"m{k} long" for k in range(MARKS))
+    out = durable(e.mapInArrow(_vectorizer(df, max(1, e.count()), surname, cosine), schema), "vectors")
     release(e)
     return out
 
@@ -136,14 +152,14 @@ def cosine_join(vectors: DataFrame, left: DataFrame, right: DataFrame, cosine: f
     """
     marks = [f"m{i}" for i in range(MARKS)]
     spare = F.size("grams") - sum(F.bit_count(m) for m in marks)  # grams that share their bit with another one
-    front = vectors.select("entry", "top", spare.alias("spare"), *marks, F.explode(F.arrays_zip("grams", "w", "rest")).alias("z")).filter(F.col("z.rest") >= cosine - 1e-9)
-    front = front.select("entry", "top", "spare", *marks, F.col("z.grams").alias("key"), F.col("z.w").alias("w"), (F.col("z.rest") * F.col("z.rest") - F.col("z.w") * F.col("z.w")).alias("q"))
+    front = vectors.select("entry", "top", "need", spare.alias("spare"), *marks, F.explode(F.arrays_zip("grams", "w", "rest")).alias("z")).filter(F.col("z.rest") >= cosine - 1e-9)
+    front = front.select("entry", "top", F.col("need").cast("short"), F.col("spare").cast("short"), *marks, F.col("z.grams").alias("key"), F.col("z.w").alias("w"), (F.col("z.rest") * F.col("z.rest") - F.col("z.w") * F.col("z.w")).alias("q"))
     front = front.withColumns({c: F.col(c).cast("float") for c in ("w", "q", "top")})  # bounds only, so single precision will do
-    carried = ["w", "q", "top", "spare", *marks]
+    carried = ["w", "q", "top", "need", "spare", *marks]
     side = lambda who, name: (front if same else front.join(who, "entry", "left_semi")).select("key", F.col("entry").alias(name), *[F.col(c).alias(c + name) for c in carried])
     reach = F.col("wl") * F.col("wr") + F.sqrt(F.greatest(F.lit(0.0), F.col("ql")) * F.greatest(F.lit(0.0), F.col("qr"))) >= cosine - 1e-5
     common = sum(F.bit_count(F.col(m + "l").bitwiseAND(F.col(m + "r"))) for m in marks) + F.least("sparel", "sparer")
-    reach = reach & (common * F.col("topl") * F.col("topr") >= cosine - 1e-5)
+    reach = reach & (common * F.col("topl") * F.col("topr") >= cosine - 1e-5) & (common >= F.least("needl", "needr"))
     met = blocked_join(side(left, "l"), side(right, "r"), reach & (F.expr("l < r") if same else F.lit(True))).select("l", "r").distinct()
     packed = vectors.select("entry", F.map_from_arrays("grams", "w").alias("m"))
     both = met.join(packed.select(F.col("entry").alias("l"), F.col("m").alias("ml")), "l").join(packed.select(F.col("entry").alias("r"), F.col("m").alias("mr")), "r")
@@ -155,7 +171,7 @@ def name_pairs(feats: DataFrame, same: bool, cosine: float = COSINE) -> DataFram
     """Pairs of records (``l``, ``r``) with names at or above ``cosine``, and that ``cosine``: within one table (``same``,
     ``l < r``) or from side 0 to side 1. A record without a name is in no pair."""
     held = durable(name_entries(feats), "entries")
-    vectors = name_vectors(held)
+    vectors = name_vectors(held, cosine=cosine)
     on = lambda k: held.filter(F.col("side") == k)
     mine, other = (held, held) if same else (on(0), on(1))
     near = durable(cosine_join(vectors, mine.select("entry").distinct(), other.select("entry").distinct(), cosine, same), "near")

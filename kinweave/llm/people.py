@@ -40,6 +40,7 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower().replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("đ", "d")
 
 
+@lru_cache(200_000)
 def name_tokens(s: str | None) -> tuple[list[str], int]:
     """(tokens in written order, how many at the front are surely the surname's: 0 if unknown)."""
     if not s:
