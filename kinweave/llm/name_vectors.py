@@ -28,6 +28,8 @@ from kinweave.durable import durable, release
 
 COSINE, SURNAME, GRAM = 0.45, 0.7, 3
 BUCKETS = 1 << 20
+#: Letters of a surname that is also compared without one of them.
+LONGEST = 64
 #: Words of 64 bits in a mark.
 MARKS = 4
 #: Records of one key that meet in one task, on either side; the pairs of a key with more are spread over several.
@@ -167,6 +169,13 @@ def cosine_join(vectors: DataFrame, left: DataFrame, right: DataFrame, cosine: f
     return both.select(F.col("l").alias("a"), F.col("r").alias("b"), dot.alias("cosine")).filter(F.col("cosine") >= cosine - 1e-9)
 
 
+def _records(near: DataFrame, mine: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of both sides from pairs of entries (``a``, ``b``, ``cosine``) and who holds them."""
+    lk = near.select(F.xxhash64("a", "b").alias("key"), F.col("a").alias("entry"), "cosine").join(mine.select("entry", F.col("id").alias("l")), "entry").select("key", "l", "cosine")
+    rk = near.select(F.xxhash64("a", "b").alias("key"), F.col("b").alias("entry")).join(other.select("entry", F.col("id").alias("r")), "entry").select("key", "r")
+    return lk, rk
+
+
 def name_pairs(feats: DataFrame, same: bool, cosine: float = COSINE) -> DataFrame:
     """Pairs of records (``l``, ``r``) with names at or above ``cosine``, and that ``cosine``: within one table (``same``,
     ``l < r``) or from side 0 to side 1. A record without a name is in no pair."""
@@ -175,8 +184,7 @@ def name_pairs(feats: DataFrame, same: bool, cosine: float = COSINE) -> DataFram
     on = lambda k: held.filter(F.col("side") == k)
     mine, other = (held, held) if same else (on(0), on(1))
     near = durable(cosine_join(vectors, mine.select("entry").distinct(), other.select("entry").distinct(), cosine, same), "near")
-    lk = near.select(F.xxhash64("a", "b").alias("key"), F.col("a").alias("entry"), "cosine").join(mine.select("entry", F.col("id").alias("l")), "entry").select("key", "l", "cosine")
-    rk = near.select(F.xxhash64("a", "b").alias("key"), F.col("b").alias("entry")).join(other.select("entry", F.col("id").alias("r")), "entry").select("key", "r")
+    lk, rk = _records(near, mine, other)
     if same:  # one and the same name
         own = held.select(F.col("entry").alias("key"), F.col("id").alias("l"), F.lit(1.0).alias("cosine"))
         lk, rk = lk.unionByName(own), rk.unionByName(own.select("key", F.col("l").alias("r")))
@@ -185,3 +193,23 @@ def name_pairs(feats: DataFrame, same: bool, cosine: float = COSINE) -> DataFram
         pairs = pairs.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"), "cosine")
     release(vectors)
     return pairs.groupBy("l", "r").agg(F.max("cosine").alias("cosine"))
+
+
+def edit_pairs(feats: DataFrame, most: int = 3) -> DataFrame:
+    """Pairs of records (``l`` of side 0, ``r`` of side 1) with an initial in common and surnames at most ``most`` edits apart.
+
+    Surnames meet on what is left without one letter (so none at one edit or one swap of neighbours is missed, up to
+    ``LONGEST`` letters) and on their first and last five letters; the distance is tested where they meet.
+    """
+    held = durable(name_entries(feats), "entries")
+    e = held.groupBy("entry").agg(F.first("i").alias("i"), F.first("s").alias("s"), F.max(F.col("side") == 0).alias("on0"), F.max(F.col("side") == 1).alias("on1"))
+    n = F.length("s")
+    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring("s", F.lit(1), k - 1), F.substring("s", k + 1, n)))
+    less = F.when(n <= LONGEST, F.concat(F.array("s"), less)).otherwise(F.array("s"))
+    keys = F.concat(F.transform(less, lambda x: F.xxhash64("i", F.lit("-"), x)), F.array(F.xxhash64("i", F.lit("<"), F.substring("s", 1, 5)), F.xxhash64("i", F.lit(">"), F.expr("right(s, 5)"))))
+    front = e.select("entry", "s", "on0", "on1", F.explode(F.array_distinct(keys)).alias("key"))
+    side = lambda on, name: front.filter(on).select("key", F.col("entry").alias(name), F.col("s").alias("s" + name))
+    met = blocked_join(side("on0", "l"), side("on1", "r"), F.levenshtein("sl", "sr", most) >= 0)
+    near = durable(met.select(F.col("l").alias("a"), F.col("r").alias("b"), F.lit(1.0).alias("cosine")).distinct(), "near")
+    on = lambda k: held.filter(F.col("side") == k)
+    return blocked_join(*_records(near, on(0), on(1))).select("l", "r").distinct()

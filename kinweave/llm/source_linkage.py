@@ -1,7 +1,7 @@
 """Matching entities across sources without keys (problem 5).
 
-Method: label-model linkage. Candidate pairs come from two joins: names that are similar as n-gram vectors
-(:mod:`name_vectors`), and a link of one's own. Matching functions vote on each candidate: name, link, organisation and
+Method: label-model linkage. Candidate pairs come from two joins: an initial with a surname at most three
+edits away (:func:`name_vectors.edit_pairs`), and a link of one's own. Matching functions vote on each candidate: name, link, organisation and
 place, each with a few levels, among them "can't tell" and "contradicts". A generative model (:mod:`label_model`) learns
 from the table of vote patterns how often each level occurs among matches and non-matches, and which
 voters depend on each other; its posterior is the confidence.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinweave.durable import durable
 from kinweave.llm.forest_split import id_key
 from kinweave.llm.label_model import LabelModel
-from kinweave.llm.name_vectors import blocked_join, name_pairs
+from kinweave.llm.name_vectors import blocked_join, edit_pairs
 from kinweave.llm.people import people_features, records
 
 NAME, LINK, ORG, PLACE = range(4)
@@ -121,7 +121,7 @@ def link_sources(live: DataFrame, profiles: DataFrame, threshold: float = 0.5) -
     """
     feats, links = people_features(records(live, 0, topics=False).unionByName(records(profiles, 1, topics=False)))
     side = lambda df, k: df.filter(F.col("side") == k).drop("side")
-    pairs = name_pairs(feats, same=False).select("l", "r").unionByName(link_pairs(links)).distinct()
+    pairs = edit_pairs(feats).unionByName(link_pairs(links)).distinct()
     votes = pair_votes(pairs, side(feats, 0), side(feats, 1))
     persons = durable(persons_of(profiles, links), "persons")
     # A contradicting link counts only where no link is shared.
